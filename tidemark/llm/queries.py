@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import clean_host
-from tidemark.llm import capping, formatting, seen
+from tidemark.functions.text import clean_host, day_of
+from tidemark.llm import capping, encoding, formatting, leakage, packing, seen, sketches
 from tidemark.plans.core_problems import host_sql
 from tidemark.sources.tables import table
 
 
+def _discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "discovery_records")
+    return r.select(day_of(F.col("discovered_at")).alias("day"), F.lower(F.trim("source")).alias("source"), clean_host(F.col("hostname")).alias("hostname"))
+
+
+def p1_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct host names a day, a source, both, and in all, with 95% intervals."""
+    return sketches.distinct_cube(_discoveries(spark, sf_dir), ["day", "source"], "hostname")
+
+
+def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts beside the estimates: whether each estimate lies within six standard errors."""
+    rows = _discoveries(spark, sf_dir).where(F.col("hostname").isNotNull()).distinct()
+    # Each level counts pairs that are distinct by then; no level counts within one task.
+    levels = {"": [], "day": ["day"], "source": ["source"], "day,source": ["day", "source"]}
+    exact = None
+    for name, dims in levels.items():
+        one = rows.select(*dims, "hostname").distinct().groupBy(*dims).agg(F.count("*").alias("hosts")).select(F.lit(name).alias("grouped"), *[F.col(d) if d in dims else F.lit(None).cast("string").alias(d) for d in ("day", "source")], "hosts")
+        exact = one if exact is None else exact.unionByName(one)
+    made = sketches.distinct_cube(_discoveries(spark, sf_dir), ["day", "source"], "hostname")
+    e, x = made.alias("e"), exact.where(F.col("hosts") > 0).alias("x")
+    both = e.join(x, (F.col("e.grouped") == F.col("x.grouped")) & F.col("e.day").eqNullSafe(F.col("x.day")) & F.col("e.source").eqNullSafe(F.col("x.source")))
+    return both.select("x.grouped", "x.day", "x.source", "hosts", (F.abs(F.col("estimate") - F.col("hosts")) <= 6 * F.col("rel_error") * F.col("hosts")).alias("within"))
+
+
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = table(spark, sf_dir, "urls").select(F.lit("urls").alias("tbl"), formatting.url_key(F.col("url")).alias("key"), F.col("row_id").alias("id"))
     found = table(spark, sf_dir, "expansion_candidates").select(F.lit("expansion_candidates").alias("tbl"), formatting.url_key(F.col("first_url")).alias("key"), F.col("candidate_id").alias("id"))
@@ -57,7 +82,49 @@ def p7_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.reservoir(_frontier(spark, sf_dir), "host", "priority", "row_id", 40, temperature=10.0).select("host", "row_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p5_error_rate, p7_found, p7_sampled)}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+#: Tokens a container holds.
+CAPACITY = 8192
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each text goes."""
+    return packing.pack_documents(_documents(spark, sf_dir), CAPACITY)
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full each container is, and what it costs."""
+    return packing.containers(p8_pack(spark, sf_dir), CAPACITY)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "eval_items").select("item_id", "passage")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 words in a row of a passage: a tile of 13 words or more."""
+    return leakage.leaks(_documents(spark, sf_dir), _items(spark, sf_dir), shortest=13).select("doc_id", "item_id")
+
+
+def p9_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a passage in parts, in any order: tiles of five words or more over 0.8 of it."""
+    return leakage.leaks(_documents(spark, sf_dir), _items(spark, sf_dir), shortest=5, coverage=0.8)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were garbled in whole or in part."""
+    return encoding.garbled_documents(_documents(spark, sf_dir))
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled texts put right as far as possible."""
+    return encoding.restored_documents(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p2_found, p2_groups, p5_found, p5_error_rate, p7_found, p7_sampled, p8_pack, p8_containers, p9_found, p9_reordered, p10_found, p10_restored)}
 
 
 def _words_sql(c: str) -> str:
@@ -85,4 +152,17 @@ SQL = {
       select host, row_id from (select host, row_id, count(*) over (partition by host) as n, row_number() over (partition by host order by priority desc nulls last, row_id) as r
         from (select {host_sql("host")} as host, priority, row_id from urls) where host is not null) where n > 40 and r <= 40
     """,
+    "p1_audit": f"""
+      select case when g = 0 then 'day,source' when g = 1 then 'day' when g = 2 then 'source' else '' end as grouped, day, source, hosts, true as within
+      from (select day, source, grouping(day, source) as g, count(distinct h) as hosts from (
+        select strftime(make_timestamp((discovered_at * 1000000)::bigint), '%Y-%m-%d') as day, lower(trim(source)) as source, {host_sql("hostname")} as h from discovery_records) where h is not null
+        group by grouping sets ((), (day), (source), (day, source)))
+    """,
+    "p9_found": f"""
+      with d as (select doc_id, string_split({_words_sql("text")}, ' ') as w from documents where text is not null),
+        i as (select item_id, string_split({_words_sql("passage")}, ' ') as w from eval_items),
+        dg as (select distinct doc_id, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
+        ig as (select distinct item_id, array_to_string(w[k:k + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i))
+      select distinct doc_id, item_id from dg join ig using (g)
+    """,
 }
