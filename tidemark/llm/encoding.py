@@ -15,11 +15,12 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, ship
@@ -36,23 +37,30 @@ MARK = "�"
 #: Rows of garbled forms up to which they're broadcast: some 10 MB.
 BROADCAST_FORMS = 100_000
 
-FORM = r"[A-Za-z0-9]*[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*"
+FORM = r"[A-Za-z0-9]*+[^\x00-\x7F][A-Za-z0-9\x80-\U0010FFFF]*+"
 #: Marks that stand before or after a word without being part of it.
-AROUND = r"^[“”„«»‘’¿¡–—…\u00A0]+|[“”„«»‘’–—…\u00A0]+$"
+AROUND = "^[“”„«»‘’¿¡–—…\u00a0]+|[“”„«»‘’–—…\u00a0]+$"
 #: A sequence quoted by itself, as an example.
 QUOTED = r"""["“„«]\s?[^\x00-\x7F]+?\s?["”“»]|(?<![A-Za-z0-9])['‘`(][^\x00-\x7F]+?['’`)](?![A-Za-z0-9])"""
 
 
-@cache
+#: What was worked out once in this process (plain dicts, as these functions travel by value).
+_tables: dict[str, tuple[list[str], dict[str, int]]] = {}
+_runs: dict[str, dict[str, set[int]]] = {}
+
+
 def _table(encoding: str) -> tuple[list[str], dict[str, int]]:
     """Characters of the 256 bytes, and back. Bytes without a character stand for the control code of that number."""
+    if encoding in _tables:
+        return _tables[encoding]
     chars = []
     for b in range(256):
         try:
             chars.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
             chars.append(chr(b))
-    return chars, {c: b for b, c in reversed([*enumerate(chars)])}
+    _tables[encoding] = chars, {c: b for b, c in reversed([*enumerate(chars)])}
+    return _tables[encoding]
 
 
 def _encode(text: str, encoding: str) -> bytes | None:
@@ -123,35 +131,69 @@ def explain(clean: str, garbled: str) -> list[int]:
     return sorted(out or ())
 
 
-@cache
 def _by_run(run: str) -> dict[str, set[int]]:
     """Every look of a run of characters under every transformation."""
+    if run in _runs:
+        return _runs[run]
     out: dict[str, set[int]] = {}
     for k, chain in enumerate(TRANSFORMATIONS):
         g = garble(run, chain)
         if g is not None and g != run and MARK not in g:
             for x in looks(g, chain):
                 out.setdefault(x, set()).add(k)
+    if len(_runs) < 100_000:
+        _runs[run] = out
     return out
 
 
-def forms_in(text: Column) -> Column:
-    """Distinct forms of a text; digits are all 0, quoted examples don't count.
+_form, _quoted, _around, _digits = re.compile(FORM), re.compile(QUOTED), re.compile(AROUND), re.compile("[0-9]+")
+_variants: dict[str, tuple[str, ...]] = {}
+
+
+def variants(run: str) -> tuple[str, ...]:
+    """Forms that a run in a text counts as; digits are all 0.
 
     A run with hard spaces counts as a whole and by its words (a hard space may be a garbled letter), and a word with
     marks around it counts with and without them.
     """
-    found = F.regexp_extract_all(F.regexp_replace(text, QUOTED, " "), F.lit(FORM), F.lit(0))
-    found = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[0-9]+", "0")))
-    found = F.array_union(found, F.flatten(F.transform(found, lambda x: F.split(x, "\u00a0"))))
-    found = F.array_union(found, F.transform(found, lambda x: F.regexp_replace(x, AROUND, "")))
-    return F.filter(found, lambda x: x.rlike(r"[^\x00-\x7F]"))
+    out = _variants.get(run)
+    if out is None:
+        form = _digits.sub("0", run)
+        words = [form, *form.split("\xa0")] if "\xa0" in form else [form]
+        out = tuple(dict.fromkeys(x for w in words for x in (w, _around.sub("", w)) if not x.isascii()))
+        if len(run) < 64 and len(_variants) < 200_000:
+            _variants[run] = out
+    return out
+
+
+def forms_in(text: str) -> set[str]:
+    """Distinct forms of a text. Quoted examples don't count."""
+    if text.isascii():
+        return set()
+    return {x for run in set(_form.findall(_quoted.sub(" ", text))) for x in variants(run)}
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by form, added up in the task; at most so many forms are held at once."""
+    n: Counter[str] = Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["form", "n"])
+
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            if text:
+                n.update(forms_in(text))
+        if len(n) > 200_000:
+            yield out()
+            n.clear()
+    yield out()
 
 
 def corpus_forms(documents: DataFrame) -> DataFrame:
     """(form, n, skeleton): distinct forms and the number of documents that hold them."""
-    each = documents.where(F.col("text").isNotNull()).select(F.explode(forms_in(F.col("text"))).alias("form"))
-    return each.groupBy("form").agg(F.count("*").alias("n")).withColumn("skeleton", F.regexp_replace("form", r"[^\x00-\x7F]+", ""))
+    each = documents.select("text").mapInArrow(_count, "form string, n long")
+    return each.groupBy("form").agg(F.sum("n").alias("n")).withColumn("skeleton", F.regexp_replace("form", r"[^\x00-\x7F]+", ""))
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,12 +310,30 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     return materialize(found.unionByName(rest), "garbled")
 
 
+def _pick(known: frozenset[str] | None):
+    """Forms of each document; only the known ones, where they're given."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, forms = [], []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found = forms_in(text) if text else set()
+                found = found if known is None else found & known
+                ids += [doc] * len(found)
+                forms += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=["doc_id", "form"])
+
+    return pick
+
+
 def _with_garbled(documents: DataFrame, garbled: DataFrame) -> DataFrame:
     """(doc_id, form, clean) of each document's garbled forms."""
-    each = documents.where(F.col("text").isNotNull()).select("doc_id", F.explode(forms_in(F.col("text"))).alias("form"))
+    texts, schema = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, form string"
     if garbled.count() <= BROADCAST_FORMS:
-        return each.join(F.broadcast(garbled), "form")
-    return each.join(garbled, "form")  # frequent forms are split by AQE; garbled ones are never the frequent ones
+        known = frozenset(r.form for r in garbled.select("form").collect())  # BROADCAST_FORMS at most
+        return texts.mapInArrow(_pick(known), schema).join(F.broadcast(garbled), "form")
+    # Frequent forms are split by AQE; garbled ones are never the frequent ones.
+    return texts.mapInArrow(_pick(None), schema).join(garbled, "form")
 
 
 def garbled_documents(documents: DataFrame, **options) -> DataFrame:
@@ -286,8 +346,6 @@ def garbled_documents(documents: DataFrame, **options) -> DataFrame:
 
 
 def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    form = re.compile(FORM)
-    quoted = re.compile(QUOTED)
     for b in batches:
         out = []
         for doc, text, pairs in zip(b["doc_id"], b["text"], b["pairs"], strict=True):
@@ -308,7 +366,7 @@ def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         return re.sub("0", lambda _: next(it), clean)
                 if "\xa0" in run:
                     return "\xa0".join(map(whole, run.split("\xa0")))
-                core = re.sub(AROUND, "", run)
+                core = _around.sub("", run)
                 if core != run and core:
                     at = run.index(core)
                     return run[:at] + whole(core) + run[at + len(core) :]
@@ -316,10 +374,10 @@ def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 return run
 
             parts, at = [], 0
-            for q in quoted.finditer(text):
-                parts += [form.sub(new, text[at : q.start()]), q.group()]
+            for q in _quoted.finditer(text):
+                parts += [_form.sub(new, text[at : q.start()]), q.group()]
                 at = q.end()
-            parts.append(form.sub(new, text[at:]))
+            parts.append(_form.sub(new, text[at:]))
             out.append((doc, "".join(parts), left))
         yield pd.DataFrame(out, columns=["doc_id", "restored", "left"])
 
