@@ -23,3 +23,26 @@ def words_text(c: Column) -> Column:
 def day_of(epoch: Column) -> Column:
     """UTC day ``yyyy-MM-dd`` of epoch seconds; null and NaN have no day."""
     return F.date_format(F.timestamp_seconds(F.nanvl(epoch, F.lit(None).cast("double"))), "yyyy-MM-dd")
+
+
+#: A search token: letters and digits of any script, joined by apostrophes or hyphens.
+TOKEN = r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"
+
+
+def fold(c: Column) -> Column:
+    """Lower case, with the foldings that lower case lacks (sharp s, final sigma). Null gives the empty text.
+
+    ``nfkc_fold`` in ``functions.udfs`` also folds compatibility characters.
+    """
+    low = F.translate(F.lower(F.translate(F.coalesce(c, F.lit("")), "Σẞ", "σß")), "ς", "σ")
+    return F.replace(low, F.lit("ß"), F.lit("ss"))
+
+
+def tokens(c: Column) -> Column:
+    """Array of search tokens in order; empty for null."""
+    return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(1))
+
+
+def ascii_words(c: Column) -> Column:
+    """Array of ASCII words in lower case; empty for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
