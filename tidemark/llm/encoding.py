@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize, ship
+from tidemark.session import materialize, parallelism, ship
 
 ship(sys.modules[__name__])
 
@@ -236,8 +236,8 @@ def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: in
     pairs = twins.join(clean, "skeleton").where(F.col("best.n") >= ratio * F.col("n")).select("form", F.col("best.form").alias("clean"))
     by_twin = pairs.mapInPandas(_votes, "chain int, form string")
     whole = forms.where((letters < 2) & (F.length("form") - F.length("skeleton") >= 4))
-    by_look = whole.where(sound & (F.col("n") >= ratio)).select("form", "n").mapInPandas(_images(tuple(range(len(TRANSFORMATIONS)))), IMAGES).where(~F.col("form").contains(MARK))
-    by_look = by_look.join(whole.select("form", "n"), "form").where(F.col("n_clean") >= ratio * F.col("n")).select("chain", "form")
+    by_look = whole.where(sound & (F.col("n") >= ratio)).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(range(len(TRANSFORMATIONS)))), IMAGES).where(~F.col("form").contains(MARK))
+    by_look = by_look.hint("merge").join(whole.select("form", "n"), "form").where(F.col("n_clean") >= ratio * F.col("n")).select("chain", "form")
     # How many forms each set of transformations explains; there are as many sets as ways in which encodings overlap.
     sets = by_twin.unionByName(by_look).groupBy("form").agg(F.array_sort(F.collect_set("chain")).alias("chains")).groupBy("chains").agg(F.count("*").alias("n"))
     left = {frozenset(r.chains): r.n for r in sets.orderBy(F.col("n").desc(), "chains").limit(most_sets).collect()}
@@ -294,9 +294,10 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     forms = materialize(corpus_forms(documents), "forms")
     chains = tuple(learn(forms, ratio=ratio, votes=votes))
     marks = [k for k, c in enumerate(TRANSFORMATIONS) if c[-1][1] == "utf-8"]  # bytes that were no UTF-8: replacement marks
-    images = forms.where((F.col("n") >= ratio) & ~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").mapInPandas(_images(tuple(sorted({*chains, *marks}))), IMAGES)
+    images = forms.where((F.col("n") >= ratio) & ~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(sorted({*chains, *marks}))), IMAGES)
     images = images.where(F.col("chain").isin(*chains) | F.col("form").contains(MARK))
-    found = images.join(forms, "form").where(F.col("n_clean") >= ratio * F.col("n"))
+    # Images outnumber the forms that Spark takes them for: they're shuffled, never broadcast.
+    found = images.hint("merge").join(forms, "form").where(F.col("n_clean") >= ratio * F.col("n"))
     beyond = F.length("form") - F.length("skeleton")
     many = F.col("chain").isin(*[k for k, c in enumerate(TRANSFORMATIONS) if multibyte(c)]) | F.col("form").contains(MARK)
     # One byte for one: too little is left of a very short form to tell it from a word of its own.
