@@ -7,9 +7,9 @@ row that joins every candidate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ascii_words, fold, tokens
@@ -29,20 +29,23 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", text)))
 
 
-def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tuple[str, str]]) -> DataFrame:
+def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tuple[str, str]], extra: Mapping[str, Column] | None = None) -> DataFrame:
     """One row a document: length, and for each query term its places (array<array<int>> ``at``), as a written table.
 
-    Nothing is exploded or shuffled. Documents without any token are left out.
+    Nothing is exploded or shuffled. Documents without any token are left out. ``extra`` columns are worked out in the
+    same pass, for documents with a query term only.
     """
+    extra = extra or {}
     all_ = F.concat(*[tokens(F.col(c)) for _, c in fields])
-    numbered = F.transform(F.col("t"), lambda x, i: F.when(x.isin(*terms), F.struct(x.alias("term"), i.alias("pos"))))
-    hits = documents.select("doc_id", all_.alias("t")).select("doc_id", F.size("t").alias("length"), F.filter(numbered, lambda x: x.isNotNull()).alias("h"))
+    numbered = F.transform(F.col("__t"), lambda x, i: F.when(x.isin(*terms), F.struct(x.alias("term"), i.alias("pos"))))
+    hits = documents.withColumn("__t", all_).withColumn("__h", F.filter(numbered, lambda x: x.isNotNull()))
 
     def places(t: str) -> Column:
-        return F.transform(F.filter("h", lambda x: x["term"] == t), lambda x: x["pos"])
+        return F.transform(F.filter("__h", lambda x: x["term"] == t), lambda x: x["pos"])
 
     at = F.array(*map(places, terms))
-    return materialize(hits.where("length > 0").select("doc_id", "length", at.alias("at")), "candidates")
+    out = hits.where(F.size("__t") > 0).select("doc_id", F.size("__t").alias("length"), at.alias("at"), *[F.when(F.size("__h") > 0, c).alias(n) for n, c in extra.items()])
+    return materialize(out, "candidates")
 
 
 def corpus_stats(found: DataFrame, n_terms: int) -> DataFrame:
@@ -182,25 +185,24 @@ def search(documents: DataFrame, query: str, *, fields: Sequence[tuple[str, str]
     terms = query_terms(query)
     if not terms:
         return documents.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("rank")).limit(0)
-    found = candidates(documents, terms, fields)
-    rows = matched(found, terms, mode).crossJoin(F.broadcast(corpus_stats(found, len(terms))))  # one row
-    rows = rows.select("doc_id", F.size("matched_terms").alias("matched"), bm25(len(terms)).alias("bm25"), proximity(F.col("at"), len(terms)).alias("near"))
-    if profile == "bm25":
-        rows = rows.withColumn("score", F.round("bm25", 6))
-    else:
+    extra = {}
+    if profile != "bm25":
         of = dict(fields)
         title, url, domain, body = (F.col(of[f]) for f in ("title", "url", "domain", "body"))
         crawled = F.col("crawled") if "crawled" in documents.columns else F.lit(None).cast("double")
-        signals = 1 + 0.1 * freshness(crawled, now) + 0.1 * quality(title, body) + 0.05 * trust(url, title, body) - 0.2 * spam(title, body, url)
         strong = F.arrays_overlap(F.concat(tokens(title), tokens(url), tokens(domain)), F.array(*map(F.lit, terms)))
-        texts = documents.select("doc_id", signals.alias("signals"), field_multiplier(query, terms, title, url, domain, body).alias("factor"), title_bonus(query, title).alias("exact"), (3 * substring_share(terms, title)).alias("in_title"), (1.5 * substring_share(terms, url)).alias("in_url"), strong.alias("strong"))
-        rows = rows.join(texts, "doc_id")
+        signals = 1 + 0.1 * freshness(crawled, now) + 0.1 * quality(title, body) + 0.05 * trust(url, title, body) - 0.2 * spam(title, body, url)
+        bonus = 8 * title_bonus(query, title) + 4 * 3 * substring_share(terms, title) + 3 * 1.5 * substring_share(terms, url)
+        extra = {"signals": signals, "factor": field_multiplier(query, terms, title, url, domain, body), "bonus": bonus, "strong": strong}
+    found = candidates(documents, terms, fields, extra)
+    rows = matched(found, terms, mode).crossJoin(F.broadcast(corpus_stats(found, len(terms))))  # one row
+    rows = rows.select("doc_id", F.size("matched_terms").alias("matched"), bm25(len(terms)).alias("bm25"), proximity(F.col("at"), len(terms)).alias("near"), *extra)
+    if profile == "bm25":
+        rows = rows.withColumn("score", F.round("bm25", 6))
+    else:
         if len(terms) > 1:
             rows = rows.where((F.col("matched") >= (len(terms) + 1) // 2) | F.col("strong"))
-        base = F.col("bm25") + F.col("matched") / len(terms) + F.col("near") + 8 * F.col("exact") + 4 * F.col("in_title") + 3 * F.col("in_url")
-        rows = rows.withColumn("score", F.round(base * F.col("signals") * F.col("factor"), 6))
+        rows = rows.withColumn("score", F.round((F.col("bm25") + F.col("matched") / len(terms) + F.col("near") + F.col("bonus")) * F.col("signals") * F.col("factor"), 6))
     best = rows.select("doc_id", "score", "matched").orderBy(F.col("score").desc(), F.col("matched").desc(), "doc_id").limit(k)
     # k rows: they may be numbered in one task.
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("matched").desc(), "doc_id")))
