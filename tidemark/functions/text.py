@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word is a longest run of letters and digits of any script.
-NON_WORD = r"[^\p{L}\p{N}]+"
+NON_WORD = r"[^a-zA-Z0-9\p{L}\p{N}]++"
 
 
 def clean_host(c: Column) -> Column:
@@ -26,7 +26,7 @@ def day_of(epoch: Column) -> Column:
 
 
 #: A search token: letters and digits of any script, joined by apostrophes or hyphens.
-TOKEN = r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"
+TOKEN = r"([a-z0-9\p{L}\p{N}]++(?:['’-][a-z0-9\p{L}\p{N}]++)*+)"
 
 
 def fold(c: Column) -> Column:
@@ -34,8 +34,10 @@ def fold(c: Column) -> Column:
 
     ``nfkc_fold`` in ``functions.udfs`` also folds compatibility characters.
     """
-    low = F.translate(F.lower(F.translate(F.coalesce(c, F.lit("")), "Σẞ", "σß")), "ς", "σ")
-    return F.replace(low, F.lit("ß"), F.lit("ss"))
+    out = F.coalesce(c, F.lit(""))
+    for old, new in (("Σ", "σ"), ("ẞ", "ß"), (None, None), ("ς", "σ"), ("ß", "ss")):
+        out = F.replace(out, F.lit(old), F.lit(new)) if old else F.lower(out)
+    return out
 
 
 def tokens(c: Column) -> Column:

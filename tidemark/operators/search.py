@@ -29,13 +29,12 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", text)))
 
 
-def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tuple[str, str]], extra: Mapping[str, Column] | None = None) -> DataFrame:
+def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tuple[str, str]], extra: Sequence[Mapping[str, Column]] | None = None) -> DataFrame:
     """One row a document: length, and for each query term its places (array<array<int>> ``at``), as a written table.
 
     Nothing is exploded or shuffled. Documents without any token are left out. ``extra`` columns are worked out in the
-    same pass, for documents with a query term only.
+    same pass, step by step, for documents with a query term only; those named with a leading ``__`` aren't kept.
     """
-    extra = extra or {}
     all_ = F.concat(*[tokens(F.col(c)) for _, c in fields])
     numbered = F.transform(F.col("__t"), lambda x, i: F.when(x.isin(*terms), F.struct(x.alias("term"), i.alias("pos"))))
     hits = documents.withColumn("__t", all_).withColumn("__h", F.filter(numbered, lambda x: x.isNotNull()))
@@ -43,11 +42,32 @@ def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tupl
     def places(t: str) -> Column:
         return F.transform(F.filter("__h", lambda x: x["term"] == t), lambda x: x["pos"])
 
-    at = F.array(*map(places, terms))
-    out = hits.where(F.size("__t") > 0).select("doc_id", F.size("__t").alias("length"), at.alias("at"), *[F.when(F.size("__h") > 0, c).alias(n) for n, c in extra.items()])
+    for step in extra or ():
+        hits = hits.withColumns({n: F.when(F.size("__h") > 0, c) for n, c in step.items()})
+    kept = [n for step in extra or () for n in step if not n.startswith("__")]
+    out = hits.where(F.size("__t") > 0).select("doc_id", F.size("__t").alias("length"), F.array(*map(places, terms)).alias("at"), *kept)
     return materialize(out, "candidates")
 
 
+def _texts(documents: DataFrame, query: str, terms: Sequence[str], of: Mapping[str, str], now: float) -> list[dict[str, Column]]:
+    """Steps towards what the full profile takes from a document's texts. Words and tokens are cut once each."""
+    title, url, domain, body = (F.col(of[f]) for f in ("title", "url", "domain", "body"))
+    crawled = F.col("crawled") if "crawled" in documents.columns else F.lit(None).cast("double")
+
+    def hits(c: Column) -> Column:
+        return F.size(F.array_intersect(tokens(c), F.array(*map(F.lit, terms))))
+
+    words = F.col("__words")
+    signals = 1 + 0.1 * freshness(crawled, now) + 0.1 * quality(title, words) + 0.05 * trust(url, title, words) - 0.2 * spam(title, words, url, F.col("__share"))
+    bonus = 8 * title_bonus(query, title) + 4 * 3 * substring_share(terms, title) + 3 * 1.5 * substring_share(terms, url)
+    found = [F.col(f"__in_{f}") for f in ("title", "url", "domain", "body")]
+    return [
+        {"__words": ascii_words(body), **{f"__in_{f}": hits(F.col(of[f])) for f in ("title", "url", "domain", "body")}},
+        {"__share": top_share(words)},
+        {"signals": signals, "factor": field_multiplier(query, terms, title, url, *found), "bonus": bonus, "strong": found[0] + found[1] + found[2] > 0},
+    ]
+
+
 def corpus_stats(found: DataFrame, n_terms: int) -> DataFrame:
     """One row: documents, average length, document frequency of each query term."""
     return found.agg(F.count("*").alias("docs"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"), F.array(*[F.count_if(F.size(F.col("at")[i]) > 0) for i in range(n_terms)]).alias("df"))
@@ -100,8 +120,8 @@ def gap_proximity(positions: Column) -> Column:
     return F.when(n >= 2, 1 / (1 + (F.array_max(positions) - F.array_min(positions)) / (n - 1))).otherwise(0.0)
 
 
-def quality(title: Column, text: Column) -> Column:
-    words = ascii_words(text)
+def quality(title: Column, words: Column) -> Column:
+    """Length and variety of a text's ASCII words, and whether it has a title."""
     n = F.size(words)
     score = F.when(F.length(F.trim(F.coalesce(title, F.lit("")))) > 0, 0.2).otherwise(0.0)
     for least, part in ((20, 0.2), (100, 0.15), (300, 0.15), (800, 0.1)):
@@ -116,12 +136,11 @@ def top_share(words: Column) -> Column:
         F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best")),
         lambda s, w: F.struct(w.alias("w"), F.when(s["w"] == w, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["best"], F.when(s["w"] == w, s["n"] + 1).otherwise(1)).alias("best")),
     )
-    return runs["best"] / F.size(words)
+    return runs["best"] / F.greatest(F.size(words), F.lit(1))
 
 
-def spam(title: Column, text: Column, url: Column) -> Column:
-    words = ascii_words(text)
-    share = top_share(words)
+def spam(title: Column, words: Column, url: Column, share: Column) -> Column:
+    """Repetition of one word (``share`` of the most frequent), marked urls, long titles."""
     score = F.when(share >= 0.4, 0.65).when(share >= 0.25, 0.35).otherwise(0.0)
     score = score + F.when((F.size(words) >= 12) & (share >= 0.25), 0.15).otherwise(0.0)
     score = score + F.when(F.lower(F.coalesce(url, F.lit(""))).rlike("casino|betting|viagra|payday-loan"), 0.1).otherwise(0.0)
@@ -129,11 +148,11 @@ def spam(title: Column, text: Column, url: Column) -> Column:
     return F.when(F.size(words) > 0, F.least(score, F.lit(1.0))).otherwise(0.0)
 
 
-def trust(url: Column, title: Column, text: Column) -> Column:
+def trust(url: Column, title: Column, words: Column) -> Column:
     u = F.lower(F.trim(F.coalesce(url, F.lit(""))))
     score = F.lit(0.45) + F.when(u.startswith("https://"), 0.2).otherwise(0.0)
     score = score + F.when(F.length(F.coalesce(title, F.lit(""))) > 0, 0.1).otherwise(0.0)
-    score = score + F.when(F.size(ascii_words(text)) >= 100, 0.1).otherwise(0.0)
+    score = score + F.when(F.size(words) >= 100, 0.1).otherwise(0.0)
     score = score + F.when(u != "", 0.05).otherwise(0.0)
     return score - F.when(~u.contains("://") | u.contains(" "), 0.2).otherwise(0.0)
 
@@ -153,15 +172,9 @@ def title_bonus(query: str, title: Column) -> Column:
     return F.when((q == "") | (t == ""), 0.0).when(q == t, 5.0).when(t.contains(q), 1.5).otherwise(0.0)
 
 
-def field_multiplier(query: str, terms: Sequence[str], title: Column, url: Column, domain: Column, body: Column) -> Column:
-    """Factor by the field in which the query is represented best; the first case that holds."""
-
-    def hits(c: Column) -> Column:
-        t = tokens(c)
-        return sum((F.when(F.array_contains(t, x), 1).otherwise(0) for x in terms), F.lit(0))
-
+def field_multiplier(query: str, terms: Sequence[str], title: Column, url: Column, in_title: Column, in_url: Column, in_domain: Column, in_body: Column) -> Column:
+    """Factor by the field in which the query is represented best; the first case that holds. in_*: terms in a field."""
     n, q = len(terms), fold(F.lit(query.strip()))
-    in_title, in_url, in_domain = hits(title), hits(url), hits(domain)
     return (
         F.when((q != "") & (q == fold(title)), EXACT_TITLE)
         .when(in_title == n, ALL_TITLE)
@@ -170,7 +183,7 @@ def field_multiplier(query: str, terms: Sequence[str], title: Column, url: Colum
         .when(in_url > 0, ANY_URL)
         .when(in_domain == n, ALL_DOMAIN)
         .when(in_domain > 0, ANY_DOMAIN)
-        .when(hits(body) > 0, BODY)
+        .when(in_body > 0, BODY)
         .otherwise(NONE)
     )
 
@@ -185,16 +198,8 @@ def search(documents: DataFrame, query: str, *, fields: Sequence[tuple[str, str]
     terms = query_terms(query)
     if not terms:
         return documents.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("rank")).limit(0)
-    extra = {}
-    if profile != "bm25":
-        of = dict(fields)
-        title, url, domain, body = (F.col(of[f]) for f in ("title", "url", "domain", "body"))
-        crawled = F.col("crawled") if "crawled" in documents.columns else F.lit(None).cast("double")
-        strong = F.arrays_overlap(F.concat(tokens(title), tokens(url), tokens(domain)), F.array(*map(F.lit, terms)))
-        signals = 1 + 0.1 * freshness(crawled, now) + 0.1 * quality(title, body) + 0.05 * trust(url, title, body) - 0.2 * spam(title, body, url)
-        bonus = 8 * title_bonus(query, title) + 4 * 3 * substring_share(terms, title) + 3 * 1.5 * substring_share(terms, url)
-        extra = {"signals": signals, "factor": field_multiplier(query, terms, title, url, domain, body), "bonus": bonus, "strong": strong}
-    found = candidates(documents, terms, fields, extra)
+    found = candidates(documents, terms, fields, _texts(documents, query, terms, dict(fields), now) if profile != "bm25" else None)
+    extra = () if profile == "bm25" else ("signals", "factor", "bonus", "strong")
     rows = matched(found, terms, mode).crossJoin(F.broadcast(corpus_stats(found, len(terms))))  # one row
     rows = rows.select("doc_id", F.size("matched_terms").alias("matched"), bm25(len(terms)).alias("bm25"), proximity(F.col("at"), len(terms)).alias("near"), *extra)
     if profile == "bm25":

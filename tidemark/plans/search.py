@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import ascii_words
 from tidemark.operators import index, search
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 QUERY = "crawl budget"
 NOW = 1_767_225_600.0
@@ -15,7 +15,7 @@ FIELDS = (("title", "title"), ("url", "url"), ("domain", "source"), ("body", "te
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").drop("n_chars"))
     return d.withColumn("crawled", F.unix_micros("crawled_at") / 1e6)
 
 
@@ -96,12 +96,13 @@ def proximity_adjacent(spark, sf_dir):
 
 
 def document_signals(spark, sf_dir):
-    title, text, url = F.col("title"), F.col("text"), F.col("url")
-    return _documents(spark, sf_dir).select(
+    d = _documents(spark, sf_dir).withColumn("words", ascii_words(F.col("text"))).withColumn("share", search.top_share(F.col("words")))
+    title, words, url = F.col("title"), F.col("words"), F.col("url")
+    return d.select(
         "doc_id",
-        F.round(search.quality(title, text), 6).alias("quality"),
-        F.round(search.spam(title, text, url), 6).alias("spam"),
-        F.round(search.trust(url, title, text), 6).alias("trust"),
+        F.round(search.quality(title, words), 6).alias("quality"),
+        F.round(search.spam(title, words, url, F.col("share")), 6).alias("spam"),
+        F.round(search.trust(url, title, words), 6).alias("trust"),
         F.round(search.freshness(F.col("crawled"), NOW), 6).alias("freshness"),
     )
 

@@ -12,7 +12,7 @@ from tidemark.operators import index, present
 from tidemark.plans.core_problems import host_sql
 from tidemark.plans.search import FIELDS, QUERIES as SEARCH, SQL as SEARCH_SQL
 from tidemark.session import materialize, scratch
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 from tidemark.streaming import flows
 
 QUERIES, SQL = {}, {}
@@ -75,7 +75,7 @@ _SENTENCES = r"(select doc_id, sentence from (select doc_id, unnest(string_split
 
 
 def _sentences(spark, sf_dir):
-    return present.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return present.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f"select doc_id, count(*) as sentences, max(length(sentence)) as longest from {_SENTENCES} group by 1")
@@ -110,7 +110,7 @@ _T = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ')"
   e as (select *, least(length(t), greatest(0, pos - 90) + 180) as e from a), s as (select *, greatest(0, least(greatest(0, pos - 90), e - 180)) as s from e)
   select doc_id, case when pos is null then rtrim(substr(t, 1, 180), ' ') else case when e < length(t) then rtrim(case when s > 0 then '… ' else '' end || trim(substr(t, s + 1, e - s), ' '), ' ') || ' …' else case when s > 0 then '… ' else '' end || trim(substr(t, s + 1, e - s), ' ') end end as snippet from s""")
 def snippets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", present.snippet(F.col("text"), TERMS).alias("snippet"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", present.snippet(F.col("text"), TERMS).alias("snippet"))
 
 
 @query()

@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table (a file or a folder of files) of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small input to all cores, for work that costs much a row.
+
+    Only an input with fewer partitions than there are cores is dealt: one of a few file splits. Larger inputs stay as
+    they were read, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
