@@ -33,7 +33,7 @@ def url_key(c: Column) -> Column:
     """
     parts = F.split(c, r"\?", 2)
     query = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ";", "&")
-    query = F.lower(F.regexp_replace(query, r"[^\p{L}\p{N}&]+", " "))
+    query = F.lower(F.regexp_replace(query, r"[^a-zA-Z0-9\p{L}\p{N}&]++", " "))
     params = F.array_sort(F.array_remove(F.split(F.trim(query), " ?& ?"), ""))
     return F.concat(words_text(F.get(parts, F.lit(0))), F.lit("?"), F.array_join(params, "&"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean_host, day_of
 from tidemark.llm import capping, encoding, formatting, leakage, packing, seen, sketches
 from tidemark.plans.core_problems import host_sql
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 
 def _discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = table(spark, sf_dir, "urls").select(F.lit("urls").alias("tbl"), formatting.url_key(F.col("url")).alias("key"), F.col("row_id").alias("id"))
-    found = table(spark, sf_dir, "expansion_candidates").select(F.lit("expansion_candidates").alias("tbl"), formatting.url_key(F.col("first_url")).alias("key"), F.col("candidate_id").alias("id"))
+    urls = spread(table(spark, sf_dir, "urls").select("url", "row_id")).select(F.lit("urls").alias("tbl"), formatting.url_key(F.col("url")).alias("key"), F.col("row_id").alias("id"))
+    found = spread(table(spark, sf_dir, "expansion_candidates").select("first_url", "candidate_id")).select(F.lit("expansion_candidates").alias("tbl"), formatting.url_key(F.col("first_url")).alias("key"), F.col("candidate_id").alias("id"))
     return urls.unionByName(found)
 
 
@@ -83,7 +83,7 @@ def p7_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: Tokens a container holds.
