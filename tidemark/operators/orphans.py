@@ -37,7 +37,7 @@ def orphans(children: DataFrame, parents: DataFrame, *, hot_rows: int = 200_000)
 
     Keys with more than ``hot_rows`` children are salted; their parents' few rows are repeated for each salt.
     """
-    kids = children.where(F.col("key").isNotNull())
+    kids = children.where(F.col("key").isNotNull()).select("ref", "tbl", "key", "t", "id")
     hot = F.broadcast(_hot(kids, hot_rows))  # HOT_KEYS rows at most
     kids = kids.join(hot, ["ref", "key"], "left").select("ref", "key", F.pmod(F.xxhash64("tbl", "id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), _time(F.col("t"), "inf").alias("at"), F.lit(1).alias("child"), F.lit(0).alias("delta"), "tbl", "id", "t")
     lives = parents.where(F.col("key").isNotNull()).select("ref", "key", _time(F.col("added"), "-inf").alias("added"), _time(F.col("removed"), "inf").alias("removed"))

@@ -37,7 +37,7 @@ def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tupl
     """
     all_ = F.concat(*[tokens(F.col(c)) for _, c in fields])
     numbered = F.transform(F.col("__t"), lambda x, i: F.when(x.isin(*terms), F.struct(x.alias("term"), i.alias("pos"))))
-    hits = documents.withColumn("__t", all_).withColumn("__h", F.filter(numbered, lambda x: x.isNotNull()))
+    hits = documents.withColumn("__t", all_).withColumn("__h", F.when(F.arrays_overlap("__t", F.array(*map(F.lit, terms))), F.filter(numbered, lambda x: x.isNotNull())).otherwise(F.array()))
 
     def places(t: str) -> Column:
         return F.transform(F.filter("__h", lambda x: x["term"] == t), lambda x: x["pos"])

@@ -43,16 +43,16 @@ def _states(changes: DataFrame, feed: Feed) -> DataFrame:
     return (
         changes.where(F.col(feed.key).isNotNull() & seq.isNotNull())
         .groupBy(feed.key)
-        .agg(F.max(F.struct(seq.alias("sequence"), *payload)).alias("last"), newest(act.isin(*feed.inserts)).alias("inserted"), newest(act.isin(*feed.deletes)).alias("tombstone"))
+        .agg(F.max(F.struct(seq.alias("__sequence"), *payload)).alias("__last"), newest(act.isin(*feed.inserts)).alias("__inserted"), newest(act.isin(*feed.deletes)).alias("__tombstone"))
     )
 
 
 def _present(upserts: DataFrame, feed: Feed) -> DataFrame:
     """The table as it stands: newest version of each key; keys whose tombstone is newer than their insert are gone."""
-    newest = upserts.groupBy(feed.key).agg(F.max("last").alias("last"), F.max("inserted").alias("inserted"), F.max("tombstone").alias("tombstone"))
-    there = F.col("inserted") > F.coalesce("tombstone", F.lit(-(1 << 63)))
+    newest = upserts.groupBy(feed.key).agg(*[F.max(c).alias(c) for c in ("__last", "__inserted", "__tombstone")])
+    there = F.col("__inserted") > F.coalesce("__tombstone", F.lit(-(1 << 63)))
     # The last change is newer than the insert or is the insert: it was applied.
-    return newest.where(there).select(feed.key, F.col("last.sequence").alias(feed.sequence), *[F.col(f"last.{c}").alias(c) for c in dict.fromkeys((feed.action, *feed.payload))])
+    return newest.where(there).select(feed.key, F.col("__last.__sequence").alias(feed.sequence), *[F.col(f"__last.{c}").alias(c) for c in dict.fromkeys((feed.action, *feed.payload))])
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -64,13 +64,13 @@ def source(spark: SparkSession, path: str, schema: T.StructType, **options: str)
 
 
 def apply_stream(changes: DataFrame, feed: Feed, out: str, checkpoint: str) -> None:
-    """Runs a stream of changes to its present end; upserts go to ``out``/batch=<number>."""
+    """Runs a stream of changes to its present end; upserts go to ``out``/__batch=<number>."""
     spark = changes.sparkSession
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # keys on disk, not on the heap
 
     def upsert(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/__batch={number}")
 
     query = _states(changes, feed).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -78,7 +78,7 @@ def apply_stream(changes: DataFrame, feed: Feed, out: str, checkpoint: str) -> N
 
 def present(spark: SparkSession, out: str, like: DataFrame, feed: Feed) -> DataFrame:
     """The present table from the written upserts. like: a batch or stream with the feed's columns."""
-    schema = T.StructType([*_states(like, feed).schema.fields, T.StructField("batch", T.LongType())])
+    schema = T.StructType([*_states(like, feed).schema.fields, T.StructField("__batch", T.LongType())])
     return _present(spark.read.schema(schema).parquet(out), feed)
 
 
