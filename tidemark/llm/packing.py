@@ -12,7 +12,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,9 +78,9 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
 
 
 def _pack(capacity: int, linear: float, quadratic: float):
-    def pack(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
-        ids, n = shard["doc_id"].to_numpy(), shard["n_tokens"].to_numpy(np.int64)
+    def pack(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
+        n = shard.column("n_tokens").to_numpy()
         whole = np.where(n > capacity, n // capacity, 0)
         rest = n - whole * capacity
         # Full containers of texts that had to be cut.
@@ -89,17 +88,17 @@ def _pack(capacity: int, linear: float, quadratic: float):
         piece = np.arange(len(cut)) - np.repeat(np.cumsum(whole) - whole, whole)
         items = np.flatnonzero(rest > 0)
         put = assign(rest[items], capacity, linear, quadratic) + len(cut)
-        out = pd.DataFrame(
+        of = np.concatenate([cut, items])
+        return pa.table(
             {
-                "shard": np.int64(shard["shard"].iloc[0]),
-                "container": np.concatenate([np.arange(len(cut)), put]),
-                "doc_id": ids[np.concatenate([cut, items])],
-                "piece": np.concatenate([piece, whole[items]]),
-                "from_token": np.concatenate([piece * capacity, whole[items] * capacity]),
-                "n_tokens": np.concatenate([np.full(len(cut), capacity), rest[items]]),
+                "shard": pa.array(np.full(len(of), shard.column("shard")[0].as_py())),
+                "container": pa.array(np.concatenate([np.arange(len(cut)), put])),
+                "doc_id": shard.column("doc_id").take(pa.array(of)),
+                "piece": pa.array(np.concatenate([piece, whole[items]])),
+                "from_token": pa.array(np.concatenate([piece * capacity, whole[items] * capacity])),
+                "n_tokens": pa.array(np.concatenate([np.full(len(cut), capacity), rest[items]])),
             }
         )
-        return out.astype("int64")
 
     return pack
 
@@ -115,7 +114,7 @@ def pack(sizes: DataFrame, capacity: int, *, docs_per_shard: int = 20_000, linea
     shards = max(1, -(-sizes.count() // docs_per_shard))
     some = sizes.where(F.col("n_tokens") > 0).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(shards)))
     schema = "shard long, container long, doc_id long, piece long, from_token long, n_tokens long"
-    placed = some.groupBy("shard").applyInPandas(_pack(capacity, linear, quadratic), schema)
+    placed = some.groupBy("shard").applyInArrow(_pack(capacity, linear, quadratic), schema)
     nothing = F.lit(None).cast("long")
     return placed.unionByName(sizes.where(F.col("n_tokens") == 0).select(nothing.alias("shard"), nothing.alias("container"), "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("from_token"), "n_tokens"))
 
