@@ -159,7 +159,7 @@ def trust(url: Column, title: Column, words: Column) -> Column:
 
 def freshness(crawled: Column, now: float, half_life_days: float = 30.0) -> Column:
     """Half-life decay of the age in seconds; 0.5 where it isn't known."""
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), now - crawled) / (max(1.0, half_life_days) * 86400)), F.lit(0.5))
+    return F.when(crawled.isNull(), 0.5).otherwise(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), now - crawled) / (max(1.0, half_life_days) * 86400)))
 
 
 def substring_share(terms: Sequence[str], text: Column) -> Column:
