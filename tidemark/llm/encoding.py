@@ -212,13 +212,13 @@ def _images(chains: tuple[int, ...]):
                     for k in chains:
                         g = garble(clean, TRANSFORMATIONS[k])
                         if g is not None and g != clean:
-                            rows += [(x, clean, n, k) for x in looks(g, TRANSFORMATIONS[k]) if x != clean]
-            yield pd.DataFrame(rows, columns=["form", "clean", "n_clean", "chain"])
+                            rows += [(x, clean, seen, n, k) for x in looks(g, TRANSFORMATIONS[k]) if x != clean]
+            yield pd.DataFrame(rows, columns=["form", "clean", "seen", "n_clean", "chain"])
 
     return images
 
 
-IMAGES = "form string, clean string, n_clean long, chain int"
+IMAGES = "form string, clean string, seen string, n_clean long, chain int"
 
 
 def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: int = 20_000) -> list[int]:
@@ -301,7 +301,9 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     beyond = F.length("form") - F.length("skeleton")
     many = F.col("chain").isin(*[k for k, c in enumerate(TRANSFORMATIONS) if multibyte(c)]) | F.col("form").contains(MARK)
     # One byte for one: too little is left of a very short form to tell it from a word of its own.
-    found = found.where(many | (beyond >= 3) | (F.length("skeleton") >= 1))
+    found = materialize(found.where(many | (beyond >= 3) | (F.length("skeleton") >= 1)).select("form", "clean", "seen", "n_clean", "chain"), "images")
+    # What is garbled itself tells nothing of others: its images may be sound words.
+    found = found.join(found.select(F.col("form").alias("seen")).distinct(), "seen", "left_anti")
     found = found.groupBy("form").agg(F.max(F.struct("n_clean", "clean", "chain")).alias("best")).select("form", F.col("best.clean").alias("clean"), F.col("best.chain").alias("chain"))
     # The corpus's own alphabet beyond ASCII: at most one row for each character there is.
     total = forms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
