@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import numbers
 from tidemark.functions.text import clean_host, day_of
 from tidemark.operators import graph, knowledge, signals
 from tidemark.plans.core_problems import host_sql
@@ -138,3 +139,22 @@ def running_totals(spark, sf_dir):
     """Urls by day and up to it: days are few, so their running sum is one task's."""
     d = table(spark, sf_dir, "urls").where("discovered_at is not null").groupBy(day_of(F.col("discovered_at")).alias("day")).agg(F.count("*").alias("n"))
     return d.withColumn("running", F.sum("n").over(Window.orderBy("day")))
+
+
+@query("select work_id, list_reduce(list_prepend(0::bigint, list_transform(string_split(work_id || ':1', ''), lambda c: ord(c)::bigint)), lambda h, c: (h * 131 + c) & 4294967295) / 4294967296.0 as unit from discovery_work")
+def schedule_jitter(spark, sf_dir):
+    """A fixed number in [0, 1) for each work item."""
+    return table(spark, sf_dir, "discovery_work").select("work_id", numbers.unit_of_text(F.concat("work_id", F.lit(":1"))).alias("unit"))
+
+
+@query("select doc_id, round(exp(-age / 30 * ln(2)), 9) as month, round(exp(-age / 7 * ln(2)), 9) as week from (select doc_id, date_diff('second', crawled_at, timestamp '2026-01-01') / 86400.0 as age from documents where crawled_at < timestamp '2026-01-01')")
+def recency_scores(spark, sf_dir):
+    """Decay of each document's age over a month and a week."""
+    d = table(spark, sf_dir, "documents").select("doc_id", ((F.lit(1_767_225_600) - F.unix_timestamp(F.col("crawled_at").cast("timestamp"))) / 86400.0).alias("age")).where("age > 0")
+    return d.select("doc_id", F.round(numbers.recency(F.col("age"), 30), 9).alias("month"), F.round(numbers.recency(F.col("age"), 7), 9).alias("week"))
+
+
+@query("select status, case when status >= 500 then 'server_error' when status >= 400 then 'client_error' when status >= 300 then 'redirect' else 'success' end as class, count(*) as n from (select case state when 'crawled' then 200 when 'retry' then 503 when 'failed' then 404 else 302 end as status from urls) group by 1, 2")
+def status_classes(spark, sf_dir):
+    s = F.when(F.col("state") == "crawled", 200).when(F.col("state") == "retry", 503).when(F.col("state") == "failed", 404).otherwise(302)
+    return table(spark, sf_dir, "urls").select(s.alias("status")).groupBy("status", numbers.status_class(F.col("status")).alias("class")).agg(F.count("*").alias("n"))
