@@ -1,13 +1,15 @@
 """Texts read in a wrong character encoding: found and restored with mappings learned from near-twins.
 
-The corpus is reduced to its distinct forms: words with a character beyond ASCII. Forms that agree on
-what is left without such characters are near-twins; where one is much rarer than the other, their
-characters are aligned, and the alignments vote for transformations: bytes of one encoding read as
-another, once or twice over. Words wholly beyond ASCII leave nothing to join on; there the transformed
-form itself is looked up. Transformations with enough votes are then applied to every form of the
-corpus, and a form that equals the garbled image of a more frequent one is garbled. What no twin
-explains counts as garbled by its characters alone: replacement marks, control codes, sequences that a
-learned transformation turns back into the corpus's own alphabet.
+The corpus is reduced to its distinct forms: words with a character beyond ASCII, with the number of
+distinct texts that hold them. Forms that agree on what is left without such characters are near-twins;
+where one is the garbled side, their characters are aligned, and the alignments vote for
+transformations: bytes of one encoding read as another, once or twice over. Words wholly beyond ASCII
+leave nothing to join on; there the transformed form itself is looked up. Transformations with enough
+votes are then applied to every form of the corpus, and a form that equals the garbled image of another
+is garbled if it is the worse word of the two (``flaw``), else if most texts that hold it hold words
+garbled in the same way, else if the other is much more frequent. What no twin explains counts as
+garbled by its characters alone: replacement marks, control codes, sequences that a learned
+transformation turns back into the corpus's own alphabet.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, parallelism, ship
@@ -146,6 +148,39 @@ def _by_run(run: str) -> dict[str, set[int]]:
     return out
 
 
+#: Marks that stand inside words, and those that stand before or after words or numbers.
+INSIDE, BESIDE = frozenset("’‘ʼ·–—…\u00a0\u200b\u200c\u200d"), frozenset("“”„«»‘’¿¡–—…\u00a0°€£¥¢§©®™•×²³¹ªº")
+_flaws: dict[str, int] = {}
+
+
+def flaw(form: str) -> int:
+    """What is wrong with a form as a word, whatever its frequency: 0 nothing, 1 symbols among its letters, a capital
+    after a small letter, or letters of several scripts, 2 control codes or replacement marks."""
+    if form in _flaws:
+        return _flaws[form]
+    out = 2 if re.search("[\x80-\x9f�]", form) else int(_unlike(form))
+    if len(_flaws) < 200_000:
+        _flaws[form] = out
+    return out
+
+
+def _unlike(form: str) -> bool:
+    scripts = set()
+    for i, c in enumerate(form):
+        before, after = form[i - 1 : i], form[i + 1 : i + 2]
+        if c.isalpha() and c not in "ªºµ":
+            scripts.add("LATIN" if c < "\x80" else unicodedata.name(c, "?").split()[0])
+            if c.isupper() and before.islower() and not (c + before).isascii():
+                return True
+        elif c > "\x7f" and unicodedata.category(c)[0] != "M" and unicodedata.category(c) != "Nd":
+            if before.isalpha() and after.isalpha():
+                if c not in INSIDE:
+                    return True
+            elif c not in BESIDE and (before.isalpha() or after.isalpha()):
+                return True
+    return len(scripts) > 1
+
+
 _form, _quoted, _around, _digits = re.compile(FORM), re.compile(QUOTED), re.compile(AROUND), re.compile("[0-9]+")
 _variants: dict[str, tuple[str, ...]] = {}
 
@@ -173,27 +208,44 @@ def forms_in(text: str) -> set[str]:
     return {x for run in set(_form.findall(_quoted.sub(" ", text))) for x in variants(run)}
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    """(digest, text, weight) of texts with a character beyond ASCII. Each of m equal texts weighs 1/m: only digests are
+    shuffled, and only repeated ones joined."""
+    texts = documents.where(F.octet_length("text") > F.length("text")).select(F.xxhash64("text").alias("digest"), "text")
+    repeated = texts.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    return texts.join(repeated, "digest", "left").select("digest", "text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by form, added up in the task; at most so many forms are held at once."""
+    """Weights of texts by form, added up in the task; at most so many forms are held at once."""
     n: Counter[str] = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["form", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(map(float, n.values()), pa.float64())], names=["form", "n"])
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            if text:
+        for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
+            if weight == 1:
                 n.update(forms_in(text))
+            else:
+                for x in forms_in(text):
+                    n[x] += weight
         if len(n) > 200_000:
             yield out()
             n.clear()
     yield out()
 
 
+def _with_flaws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(flaw=[flaw(f) for f in b["form"]])
+
+
 def corpus_forms(documents: DataFrame) -> DataFrame:
-    """(form, n, skeleton): distinct forms and the number of documents that hold them."""
-    each = documents.select("text").mapInArrow(_count, "form string, n long")
-    return each.groupBy("form").agg(F.sum("n").alias("n")).withColumn("skeleton", F.regexp_replace("form", r"[^\x00-\x7F]+", ""))
+    """(form, n, flaw, skeleton): distinct forms and the number of distinct texts that hold them."""
+    each = _texts(documents).select("text", "weight").mapInArrow(_count, "form string, n double")
+    forms = each.groupBy("form").agg(F.round(F.sum("n")).cast("long").alias("n")).mapInPandas(_with_flaws, "form string, n long, flaw int")
+    return forms.withColumn("skeleton", F.regexp_replace("form", r"[^\x00-\x7F]+", ""))
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,42 +254,69 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["chain", "form"])
 
 
-def _images(chains: tuple[int, ...]):
+def _images(chains: tuple[int, ...], ratio: float):
     def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for seen, n in zip(b["form"], b["n"], strict=True):
                 # What is known in one letter case is known in others.
                 for clean in dict.fromkeys((seen, seen.upper(), seen[:1].upper() + seen[1:])):
+                    bad = flaw(clean)
+                    if bad and n < ratio:
+                        continue
                     for k in chains:
                         g = garble(clean, TRANSFORMATIONS[k])
                         if g is not None and g != clean:
-                            rows += [(x, clean, seen, n, k) for x in looks(g, TRANSFORMATIONS[k]) if x != clean]
-            yield pd.DataFrame(rows, columns=["form", "clean", "seen", "n_clean", "chain"])
+                            for x in looks(g, TRANSFORMATIONS[k]):
+                                # The better word is never the garbled one; a piece cut at a hard space is no word.
+                                piece = "\xa0" in g and "\xa0" not in x or x != g and not flaw(x)
+                                if x != clean and flaw(x) >= bad and (n >= ratio or flaw(x) and not piece):
+                                    rows.append((x, clean, seen, n, bad, piece, k))
+            yield pd.DataFrame(rows, columns=["form", "clean", "seen", "n_clean", "flaw_clean", "piece", "chain"])
 
     return images
 
 
-IMAGES = "form string, clean string, seen string, n_clean long, chain int"
+IMAGES = "form string, clean string, seen string, n_clean long, flaw_clean int, piece boolean, chain int"
+
+
+def _worse() -> Column:
+    """The form is unlike a word, its clean image isn't: it is garbled, however frequent it may be."""
+    return (F.col("flaw_clean") == 0) & (F.col("flaw") > 0)
+
+
+def _rarer(ratio: float) -> Column:
+    """Neither is the better word, and the clean one is in many more texts."""
+    return (F.col("flaw") >= F.col("flaw_clean")) & (F.col("n_clean") >= ratio * F.col("n"))
+
+
+def _capitals(form: str) -> Column:
+    return (F.length(form) >= 3) & (F.col(form) == F.upper(form)) & (F.col(form) != F.lower(form))
+
+
+def _vote(ratio: float) -> Column:
+    """Which pairs (clean, form) vote. Of two words alike, the one in capitals is the garbled one: text is mostly in small
+    letters. That is enough for a vote, not to call a single word garbled."""
+    return _worse() | (_rarer(ratio) & (_capitals("form") | ~_capitals("clean"))) | ((F.col("flaw") == F.col("flaw_clean")) & _capitals("form") & ~_capitals("clean"))
 
 
 def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: int = 20_000) -> list[int]:
     """Numbers of the transformations at work in a corpus: as few as explain what can be explained.
 
     Votes come from near-twins on the skeleton, and for forms that have hardly any from the look-up of whole forms. A
-    clean twin is in ``ratio`` times as many documents. Transformations are chosen one after another by the number of
+    clean twin is the better word, or as good a one in ``ratio`` times as many texts (``_vote``). Transformations are chosen one after another by the number of
     forms that only they explain among those chosen so far, down to ``votes``. They're fitted on the ``most_sets`` most
     frequent ways in which forms can be explained; it's the fit that is bounded, not what it is applied to.
     """
     letters = F.length(F.regexp_replace("skeleton", "[0-9]", ""))
     sound = ~F.col("form").rlike("[\x80-\x9f�]")
     twins = forms.where(letters >= 2)
-    clean = twins.where(sound).groupBy("skeleton").agg(F.max(F.struct("n", "form")).alias("best"))
-    pairs = twins.join(clean, "skeleton").where(F.col("best.n") >= ratio * F.col("n")).select("form", F.col("best.form").alias("clean"))
+    clean = twins.where(sound).groupBy("skeleton").agg(F.max(F.struct((-F.col("flaw")).alias("like"), "n", "form")).alias("best"))
+    pairs = twins.join(clean, "skeleton").withColumns({"n_clean": F.col("best.n"), "flaw_clean": -F.col("best.like"), "clean": F.col("best.form")}).where(_vote(ratio)).select("form", "clean")
     by_twin = pairs.mapInPandas(_votes, "chain int, form string")
     whole = forms.where((letters < 2) & (F.length("form") - F.length("skeleton") >= 4))
-    by_look = whole.where(sound & (F.col("n") >= ratio)).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(range(len(TRANSFORMATIONS)))), IMAGES).where(~F.col("form").contains(MARK))
-    by_look = by_look.hint("merge").join(whole.select("form", "n"), "form").where(F.col("n_clean") >= ratio * F.col("n")).select("chain", "form")
+    by_look = whole.where(sound & (F.col("n") >= ratio)).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(range(len(TRANSFORMATIONS))), ratio), IMAGES).where(~F.col("form").contains(MARK))
+    by_look = by_look.hint("merge").join(whole.select("form", "n", "flaw"), "form").where(_vote(ratio)).select("chain", "form")
     # How many forms each set of transformations explains; there are as many sets as ways in which encodings overlap.
     sets = by_twin.unionByName(by_look).groupBy("form").agg(F.array_sort(F.collect_set("chain")).alias("chains")).groupBy("chains").agg(F.count("*").alias("n"))
     left = {frozenset(r.chains): r.n for r in sets.orderBy(F.col("n").desc(), "chains").limit(most_sets).collect()}
@@ -289,19 +368,44 @@ def _odd(form: str) -> bool:
     return bool(kinds - {"L"}) or len(scripts) > 1
 
 
+def _beside(documents: DataFrame, images: DataFrame, worse: DataFrame) -> DataFrame:
+    """Images as good as their clean form, where most texts that hold them hold worse ones of the same transformation."""
+    sure = worse.select("form", "chain").distinct()
+    open_ = images.where("not worse and not piece").join(sure.select("form").distinct(), "form", "left_anti").join(sure.select("chain").distinct(), "chain", "left_semi")
+    if open_.isEmpty():
+        return open_
+    names = open_.select("form", F.lit(False).alias("sure")).union(sure.select("form", F.lit(True))).groupBy("form").agg(F.max("sure").alias("sure"))
+    texts = _texts(documents).select(F.col("digest").alias("doc_id"), "text")
+    known, needed = None, None
+    if names.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
+        listed = names.collect()  # BROADCAST_FORMS at most
+        known, needed = frozenset(r.form for r in listed), frozenset(r.form for r in listed if r.sure)
+    hits = texts.mapInArrow(_pick(known, needed), "doc_id long, form string")
+    hits = materialize((hits if known is not None else hits.join(names.select("form"), "form", "left_semi")).select("doc_id", "form").distinct(), "hits")
+    spoilt = hits.join(sure, "form").select("doc_id", "chain").distinct()
+    share = hits.join(open_.select("form", "n", "chain").distinct(), "form").join(spoilt, ["doc_id", "chain"], "left_semi").groupBy("form", "chain", "n").agg(F.count("*").alias("spoilt")).where(2 * F.col("spoilt") > F.col("n"))
+    return open_.join(share.select("form", "chain"), ["form", "chain"], "left_semi").select(*images.columns)
+
+
 def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -> DataFrame:
     """Garbled forms of a corpus: (form, clean, chain), a written table. clean is null where nothing tells the original."""
     forms = materialize(corpus_forms(documents), "forms")
     chains = tuple(learn(forms, ratio=ratio, votes=votes))
     marks = [k for k, c in enumerate(TRANSFORMATIONS) if c[-1][1] == "utf-8"]  # bytes that were no UTF-8: replacement marks
-    images = forms.where((F.col("n") >= ratio) & ~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(sorted({*chains, *marks}))), IMAGES)
+    images = forms.where(~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(sorted({*chains, *marks})), ratio), IMAGES)
     images = images.where(F.col("chain").isin(*chains) | F.col("form").contains(MARK))
     # Images outnumber the forms that Spark takes them for: they're shuffled, never broadcast.
-    found = images.hint("merge").join(forms, "form").where(F.col("n_clean") >= ratio * F.col("n"))
+    found = images.hint("merge").join(forms, "form")
     beyond = F.length("form") - F.length("skeleton")
     many = F.col("chain").isin(*[k for k, c in enumerate(TRANSFORMATIONS) if multibyte(c)]) | F.col("form").contains(MARK)
     # One byte for one: too little is left of a very short form to tell it from a word of its own.
-    found = materialize(found.where(many | (beyond >= 3) | (F.length("skeleton") >= 1)).select("form", "clean", "seen", "n_clean", "chain"), "images")
+    found = found.where(many | (beyond >= 3) | (F.length("skeleton") >= 1))
+    found = materialize(found.select("form", "n", "clean", "seen", "n_clean", "chain", "piece", (_worse() & ~F.col("piece")).alias("worse"), _rarer(ratio).alias("rarer")), "images")
+    worse = found.where("worse")
+    beside = _beside(documents, found, worse)
+    sure = materialize(worse.unionByName(beside).select("form", "clean", "seen", "n_clean", "chain"), "sure")
+    rarer = found.where("rarer").join(sure.select("form").distinct(), "form", "left_anti").select(*sure.columns)
+    found = sure.unionByName(rarer)
     # What is garbled itself tells nothing of others: its images may be sound words.
     found = found.join(found.select(F.col("form").alias("seen")).distinct(), "seen", "left_anti")
     found = found.groupBy("form").agg(F.max(F.struct("n_clean", "clean", "chain")).alias("best")).select("form", F.col("best.clean").alias("clean"), F.col("best.chain").alias("chain"))
@@ -313,8 +417,8 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     return materialize(found.unionByName(rest), "garbled")
 
 
-def _pick(known: frozenset[str] | None):
-    """Forms of each document; only the known ones, where they're given."""
+def _pick(known: frozenset[str] | None, needed: frozenset[str] | None = None):
+    """Forms of each document; only the known ones, where they're given, and of documents with a needed one."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,6 +426,8 @@ def _pick(known: frozenset[str] | None):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = forms_in(text) if text else set()
                 found = found if known is None else found & known
+                if needed is not None and needed.isdisjoint(found):
+                    continue
                 ids += [doc] * len(found)
                 forms += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=["doc_id", "form"])
