@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, parallelism, ship
@@ -42,8 +42,10 @@ BROADCAST_FORMS = 100_000
 FORM = r"[A-Za-z0-9]*+[^\x00-\x7F][A-Za-z0-9\x80-\U0010FFFF]*+"
 #: Marks that stand before or after a word without being part of it.
 AROUND = "^[“”„«»‘’¿¡–—…\u00a0]+|[“”„«»‘’–—…\u00a0]+$"
-#: A sequence quoted by itself, as an example.
-QUOTED = r"""["“„«]\s?[^\x00-\x7F]+?\s?["”“»]|(?<![A-Za-z0-9])['‘`(][^\x00-\x7F]+?['’`)](?![A-Za-z0-9])"""
+#: A sequence quoted by itself, as an example. Its quote marks border on ASCII, spaces or the text's edge: within a
+#: garbled run they're bytes of letters. A hard space may be such a byte too.
+SPACES = r"\u2000-\u200a\u202f\u3000"
+QUOTED = rf"""(?<![^\x00-\x7F{SPACES}])(?:["“„«]\s?[^\x00-\x7F]+?\s?["”“»]|(?<![A-Za-z0-9])['‘`(][^\x00-\x7F]+?['’`)](?![A-Za-z0-9]))(?![^\x00-\x7F{SPACES}])"""
 
 
 #: What was worked out once in this process (plain dicts, as these functions travel by value).
@@ -201,11 +203,18 @@ def variants(run: str) -> tuple[str, ...]:
     return out
 
 
+def _forms(text: str) -> set[str]:
+    return {x for run in set(_form.findall(text)) for x in variants(run)}
+
+
 def forms_in(text: str) -> set[str]:
     """Distinct forms of a text. Quoted examples don't count."""
-    if text.isascii():
-        return set()
-    return {x for run in set(_form.findall(_quoted.sub(" ", text))) for x in variants(run)}
+    return set() if text.isascii() else _forms(_quoted.sub(" ", text))
+
+
+def quoted_in(text: str) -> set[str]:
+    """Distinct forms that stand in a text as quoted examples only. They count where the rest of the text is garbled."""
+    return set() if text.isascii() or not _quoted.search(text) else _forms(text) - forms_in(text)
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -217,7 +226,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights of texts by form, added up in the task; at most so many forms are held at once."""
+    """Weights of texts by form, added up in the task; at most so many forms are held at once. Quoted examples weigh 0."""
     n: Counter[str] = Counter()
 
     def out():
@@ -230,6 +239,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 for x in forms_in(text):
                     n[x] += weight
+            for x in quoted_in(text):
+                n[x] += 0
         if len(n) > 200_000:
             yield out()
             n.clear()
@@ -242,7 +253,7 @@ def _with_flaws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def corpus_forms(documents: DataFrame) -> DataFrame:
-    """(form, n, flaw, skeleton): distinct forms and the number of distinct texts that hold them."""
+    """(form, n, flaw, skeleton): distinct forms and the number of distinct texts that hold them, 0 for quoted examples."""
     each = _texts(documents).select("text", "weight").mapInArrow(_count, "form string, n double")
     forms = each.groupBy("form").agg(F.round(F.sum("n")).cast("long").alias("n")).mapInPandas(_with_flaws, "form string, n long, flaw int")
     return forms.withColumn("skeleton", F.regexp_replace("form", r"[^\x00-\x7F]+", ""))
@@ -287,7 +298,7 @@ def _worse() -> Column:
 
 def _rarer(ratio: float) -> Column:
     """Neither is the better word, and the clean one is in many more texts."""
-    return (F.col("flaw") >= F.col("flaw_clean")) & (F.col("n_clean") >= ratio * F.col("n"))
+    return (F.col("flaw") >= F.col("flaw_clean")) & (F.col("n_clean") >= ratio * F.greatest("n", F.lit(1)))
 
 
 def _capitals(form: str) -> Column:
@@ -310,6 +321,7 @@ def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: in
     """
     letters = F.length(F.regexp_replace("skeleton", "[0-9]", ""))
     sound = ~F.col("form").rlike("[\x80-\x9f�]")
+    forms = forms.where("n > 0")
     twins = forms.where(letters >= 2)
     clean = twins.where(sound).groupBy("skeleton").agg(F.max(F.struct((-F.col("flaw")).alias("like"), "n", "form")).alias("best"))
     pairs = twins.join(clean, "skeleton").withColumns({"n_clean": F.col("best.n"), "flaw_clean": -F.col("best.like"), "clean": F.col("best.form")}).where(_vote(ratio)).select("form", "clean")
@@ -380,7 +392,7 @@ def _beside(documents: DataFrame, images: DataFrame, worse: DataFrame) -> DataFr
     if names.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
         listed = names.collect()  # BROADCAST_FORMS at most
         known, needed = frozenset(r.form for r in listed), frozenset(r.form for r in listed if r.sure)
-    hits = texts.mapInArrow(_pick(known, needed), "doc_id long, form string")
+    hits = texts.mapInArrow(_pick(known, needed), PICKED)
     hits = materialize((hits if known is not None else hits.join(names.select("form"), "form", "left_semi")).select("doc_id", "form").distinct(), "hits")
     spoilt = hits.join(sure, "form").select("doc_id", "chain").distinct()
     share = hits.join(open_.select("form", "n", "chain").distinct(), "form").join(spoilt, ["doc_id", "chain"], "left_semi").groupBy("form", "chain", "n").agg(F.count("*").alias("spoilt")).where(2 * F.col("spoilt") > F.col("n"))
@@ -392,7 +404,7 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     forms = materialize(corpus_forms(documents), "forms")
     chains = tuple(learn(forms, ratio=ratio, votes=votes))
     marks = [k for k, c in enumerate(TRANSFORMATIONS) if c[-1][1] == "utf-8"]  # bytes that were no UTF-8: replacement marks
-    images = forms.where(~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(sorted({*chains, *marks})), ratio), IMAGES)
+    images = forms.where((F.col("n") > 0) & ~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(sorted({*chains, *marks})), ratio), IMAGES)
     images = images.where(F.col("chain").isin(*chains) | F.col("form").contains(MARK))
     # Images outnumber the forms that Spark takes them for: they're shuffled, never broadcast.
     found = images.hint("merge").join(forms, "form")
@@ -417,32 +429,40 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     return materialize(found.unionByName(rest), "garbled")
 
 
-def _pick(known: frozenset[str] | None, needed: frozenset[str] | None = None):
-    """Forms of each document; only the known ones, where they're given, and of documents with a needed one."""
+def _pick(known: frozenset[str] | None, needed: frozenset[str] | None = None, quoted: bool = False):
+    """Forms of each document; only the known ones, where they're given, and of documents with a needed one. Quoted ones
+    on demand, and not where all that is known of a document is quoted."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, forms = [], []
+            ids, forms, marks = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = forms_in(text) if text else set()
                 found = found if known is None else found & known
                 if needed is not None and needed.isdisjoint(found):
                     continue
-                ids += [doc] * len(found)
-                forms += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=["doc_id", "form"])
+                also = quoted_in(text) if quoted and text and (found or known is None) else set()
+                also = also if known is None else also & known
+                ids += [doc] * (len(found) + len(also))
+                forms += [*found, *also]
+                marks += [False] * len(found) + [True] * len(also)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string()), pa.array(marks, pa.bool_())], names=["doc_id", "form", "quoted"])
 
     return pick
 
 
-def _with_garbled(documents: DataFrame, garbled: DataFrame) -> DataFrame:
-    """(doc_id, form, clean) of each document's garbled forms."""
-    texts, schema = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, form string"
+PICKED = "doc_id long, form string, quoted boolean"
+
+
+def _with_garbled(documents: DataFrame, garbled: DataFrame, quoted: bool = False) -> DataFrame:
+    """(doc_id, form, clean) of each document's garbled forms; on demand with those quoted in documents that have others."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if garbled.count() <= BROADCAST_FORMS:
         known = frozenset(r.form for r in garbled.select("form").collect())  # BROADCAST_FORMS at most
-        return texts.mapInArrow(_pick(known), schema).join(F.broadcast(garbled), "form")
+        return texts.mapInArrow(_pick(known, quoted=quoted), PICKED).join(F.broadcast(garbled), "form")
     # Frequent forms are split by AQE; garbled ones are never the frequent ones.
-    return texts.mapInArrow(_pick(None), schema).join(garbled, "form")
+    hits = texts.mapInArrow(_pick(None, quoted=quoted), PICKED).join(garbled, "form")
+    return hits.withColumn("open", F.max(~F.col("quoted")).over(Window.partitionBy("doc_id"))).where("open") if quoted else hits
 
 
 def garbled_documents(documents: DataFrame, **options) -> DataFrame:
@@ -482,18 +502,14 @@ def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 left += shape in known
                 return run
 
-            parts, at = [], 0
-            for q in _quoted.finditer(text):
-                parts += [_form.sub(new, text[at : q.start()]), q.group()]
-                at = q.end()
-            parts.append(_form.sub(new, text[at:]))
-            out.append((doc, "".join(parts), left))
+            restored = _form.sub(new, text)
+            out.append((doc, restored, left))
         yield pd.DataFrame(out, columns=["doc_id", "restored", "left"])
 
 
 def restored_documents(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, restored, left) of garbled texts: the text with every garbled form that has a known original put
-    right, and the number of those left as they were."""
-    pairs = _with_garbled(documents, garbled_forms(documents, **options)).select("doc_id", "form", "clean").groupBy("doc_id").agg(F.collect_set(F.struct("form", "clean")).alias("pairs"))
+    right, those in quotes too, as the text isn't sound, and the number of those left as they were."""
+    pairs = _with_garbled(documents, garbled_forms(documents, **options), quoted=True).select("doc_id", "form", "clean").groupBy("doc_id").agg(F.collect_set(F.struct("form", "clean")).alias("pairs"))
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(pairs, "doc_id")
     return texts.mapInPandas(_restored, "doc_id long, restored string, left long")
