@@ -311,27 +311,42 @@ def _vote(ratio: float) -> Column:
     return _worse() | (_rarer(ratio) & (_capitals("form") | ~_capitals("clean"))) | ((F.col("flaw") == F.col("flaw_clean")) & _capitals("form") & ~_capitals("clean"))
 
 
+def _chosen_in_rounds(sets: DataFrame, votes: int) -> list[int]:
+    """The same choice as on the driver; a round brings one number a transformation there."""
+    chosen: list[int] = []
+    while True:
+        left = sets.where(~F.arrays_overlap("chains", F.array(*map(F.lit, chosen)))) if chosen else sets
+        best = left.select("n", F.explode("chains").alias("chain")).groupBy("chain").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "chain").first()
+        if best is None or best.n < votes:
+            return chosen
+        chosen.append(best.chain)
+
+
 def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: int = 20_000) -> list[int]:
     """Numbers of the transformations at work in a corpus: as few as explain what can be explained.
 
-    Votes come from near-twins on the skeleton, and for forms that have hardly any from the look-up of whole forms. A
+    Votes come from near-twins, forms with the same ASCII characters and gaps, each with each, and for forms that have hardly any from the look-up of whole forms. A
     clean twin is the better word, or as good a one in ``ratio`` times as many texts (``_vote``). Transformations are chosen one after another by the number of
-    forms that only they explain among those chosen so far, down to ``votes``. They're fitted on the ``most_sets`` most
-    frequent ways in which forms can be explained; it's the fit that is bounded, not what it is applied to.
+    forms that only they explain among those chosen so far, down to ``votes``. All forms count: the ways in which forms
+    can be explained are tallied on the driver up to ``most_sets`` of them, and by a job a round beyond.
     """
     letters = F.length(F.regexp_replace("skeleton", "[0-9]", ""))
     sound = ~F.col("form").rlike("[\x80-\x9f�]")
     forms = forms.where("n > 0")
     twins = forms.where(letters >= 2)
-    clean = twins.where(sound).groupBy("skeleton").agg(F.max(F.struct((-F.col("flaw")).alias("like"), "n", "form")).alias("best"))
-    pairs = twins.join(clean, "skeleton").withColumns({"n_clean": F.col("best.n"), "flaw_clean": -F.col("best.like"), "clean": F.col("best.form")}).where(_vote(ratio)).select("form", "clean")
+    twins = twins.withColumn("shape", F.regexp_replace("form", r"[^\x00-\x7F]+", "\u0001"))
+    clean = twins.where(sound).select("shape", F.col("form").alias("clean"), F.col("n").alias("n_clean"), F.col("flaw").alias("flaw_clean"))
+    pairs = twins.join(clean, "shape").where((F.col("form") != F.col("clean")) & _vote(ratio)).select("form", "clean")
     by_twin = pairs.mapInPandas(_votes, "chain int, form string")
     whole = forms.where((letters < 2) & (F.length("form") - F.length("skeleton") >= 4))
     by_look = whole.where(sound & (F.col("n") >= ratio)).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(range(len(TRANSFORMATIONS))), ratio), IMAGES).where(~F.col("form").contains(MARK))
     by_look = by_look.hint("merge").join(whole.select("form", "n", "flaw"), "form").where(_vote(ratio)).select("chain", "form")
     # How many forms each set of transformations explains; there are as many sets as ways in which encodings overlap.
     sets = by_twin.unionByName(by_look).groupBy("form").agg(F.array_sort(F.collect_set("chain")).alias("chains")).groupBy("chains").agg(F.count("*").alias("n"))
-    left = {frozenset(r.chains): r.n for r in sets.orderBy(F.col("n").desc(), "chains").limit(most_sets).collect()}
+    sets = materialize(sets, "ways")
+    if sets.limit(most_sets + 1).count() > most_sets:
+        return sorted(_chosen_in_rounds(sets, votes))
+    left = {frozenset(r.chains): r.n for r in sets.collect()}  # most_sets at most
     chosen = []
     while left:
         tally: dict[int, int] = {}
