@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean_host, day_of
 from tidemark.operators import frontier, graph, index, routing, signals, storage
 from tidemark.plans.core_problems import host_sql
-from tidemark.sources.tables import table
+from tidemark.plans.search import tokens_sql
+from tidemark.sources.tables import spread, table
 
 NOW = 1_747_000_000.0
 QUERIES, SQL = {}, {}
@@ -385,6 +386,15 @@ def segment_merge(spark, sf_dir):
     return index.merge_segments(s).select("term", "doc_id", "tf")
 
 
+@query(f"select term, doc_id, count(*) as tf from (select doc_id, unnest({tokens_sql('title')} || {tokens_sql('text')}) as term from documents) group by 1, 2")
+def posting_merge(spark, sf_dir):
+    """Postings of all documents, merged from one segment a crawl day."""
+    held = F.struct(F.unix_date(F.to_date("crawled_at")).alias("segment_id"), "doc_id").alias("held")
+    d = spread(table(spark, sf_dir, "documents").select(held, "title", "text"))
+    p = index.postings(index.token_rows(d, [("title", "title"), ("body", "text")], "held"), "held")
+    return index.merge_segments(p.select("held.segment_id", "term", "held.doc_id", "tf")).select("term", "doc_id", "tf")
+
+
 @query("select level, count(*) as segments, sum(bytes)::bigint as bytes from (select logical_partition % 4 as level, attempts + 1 as bytes from discovery_work) group by 1 having count(*) >= case when level = 0 then 8 else 16 end")
 def compaction_plan(spark, sf_dir):
     s = table(spark, sf_dir, "discovery_work").select("work_id", (F.col("logical_partition") % 4).alias("level"), (F.col("attempts") + 1).cast("long").alias("bytes"))
