@@ -1,32 +1,78 @@
 """Routing of keys to partitions: hash ranges, value ranges, prefixes, times of validity.
 
 Route tables are small (a row a partition): they join by broadcast as long as they hold at most
-``MOST_ROUTES`` rows, and by range bins beyond.
+``MOST_ROUTES`` rows. Beyond, ranges join by range bins, prefixes by a nested loop.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
+ship(sys.modules[__name__])
+
 MOST_ROUTES = 100_000
+#: Routes a bin, about, and most bins.
+BIN_ROUTES, MOST_BINS = 100, 10_000
+
+
+def _small(routes: DataFrame) -> bool:
+    return routes.limit(MOST_ROUTES + 1).count() <= MOST_ROUTES
 
 
 def _routes(routes: DataFrame) -> DataFrame:
-    return F.broadcast(routes) if routes.limit(MOST_ROUTES + 1).count() <= MOST_ROUTES else routes
+    return F.broadcast(routes) if _small(routes) else routes
+
+
+def _number(c: Column, kind: str) -> Column:
+    """A number that never falls where the value rises; texts by their first six bytes."""
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return (F.unix_date(c) if kind == "date" else c).cast("double")
+
+
+def _binned(edges: np.ndarray):
+    def binned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(np.searchsorted(edges, b.to_numpy("float64"), side="right").astype("int32"))
+
+    return F.pandas_udf(binned, "int")
+
+
+def _by_ranges(keys: DataFrame, value: str, routes: DataFrame, low: str, high: str) -> DataFrame:
+    """Keys with the routes whose range [low, high) holds their value, null ends open; keys without a value have none."""
+    fits = (F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) < F.col(high)))
+    keys = keys.where(F.col(value).isNotNull())
+    if _small(routes):
+        return keys.join(F.broadcast(routes), fits).drop(low, high)
+    # Each key is in one bin, each route in all that its range touches: what fits meets once.
+    kinds = dict(routes.dtypes)
+    bins = min(MOST_BINS, routes.count() // BIN_ROUTES + 1)
+    at = routes.where(F.col(low).isNotNull()).agg(F.percentile_approx(_number(F.col(low), kinds[low]), [k / bins for k in range(1, bins)] or [0.5], 10 * MOST_BINS)).first()[0]
+    bin_of = _binned(np.unique(np.array(at or [], dtype="float64")))
+    ends = routes.withColumn("__from", F.coalesce(_number(F.col(low), kinds[low]), F.lit(float("-inf")))).withColumn("__to", F.coalesce(_number(F.col(high), kinds[high]), F.lit(float("nan"))))
+    ends = ends.withColumn("__from", bin_of("__from")).withColumn("__to", bin_of("__to")).where("__from <= __to")
+    spread = ends.withColumn("__bin", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
+    binned = keys.withColumn("__at", _number(F.col(value), dict(keys.dtypes)[value])).withColumn("__bin", bin_of("__at")).drop("__at")
+    return binned.join(spread, "__bin").where(fits).drop("__bin", low, high)
 
 
 def by_hash_range(keys: DataFrame, hashed: Column, routes: DataFrame) -> DataFrame:
     """Each key with the partition whose range [start, end) holds its hash."""
-    k = keys.withColumn("__h", hashed)
-    return k.join(_routes(routes), (F.col("__h") >= F.col("start")) & (F.col("__h") < F.col("end"))).drop("__h", "start", "end")
+    bounded = routes.where("start is not null and end is not null")
+    return _by_ranges(keys.withColumn("__h", hashed), "__h", bounded, "start", "end").drop("__h")
 
 
 def by_value_range(keys: DataFrame, value: str, routes: DataFrame) -> DataFrame:
     """Each key with the partitions whose range holds its value; a null end is open."""
-    low = F.col("low").isNull() | (F.col(value) >= F.col("low"))
-    high = F.col("high").isNull() | (F.col(value) < F.col("high"))
-    return keys.where(F.col(value).isNotNull()).join(_routes(routes), low & high).drop("low", "high")
+    return _by_ranges(keys, value, routes, "low", "high")
 
 
 def by_prefix(keys: DataFrame, value: str, routes: DataFrame) -> DataFrame:
