@@ -60,18 +60,22 @@ def spread(activation: DataFrame, edge: DataFrame, decay: float = 0.75) -> DataF
     return activation.unionByName(passed).groupBy("node").agg(F.max("strength").alias("strength"))
 
 
-def components(edge: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edge: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest name in each node's connected component, edges (source, target) taken both ways.
 
     Alternating stars: in turn every node's larger and smaller neighbours are tied to its smallest one, until nothing
     moves; rounds grow with the logarithm of the size. Edges are only ever rewritten, never paired, and a hub's edges
-    are cut to their minimum by a partial aggregation in each task. Every round is written, so plans stay short.
+    are cut to their minimum by a partial aggregation in each task. Every round is written, so plans stay short. Where
+    ``most_rounds`` is given and labels still move after that many rounds, it raises.
     """
     e = edge.where(F.col("source").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target"))).select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct()
     e = materialize(e, "stars")
     nodes = materialize(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "nodes")
-    before = None
-    for _ in range(most_rounds):
+    before, rounds = None, 0
+    while True:
+        if rounds == most_rounds:
+            raise RuntimeError(f"components still move after {most_rounds} rounds")
+        rounds += 1
         # Large star: all larger neighbours of a node go to the smallest of its neighbourhood.
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
