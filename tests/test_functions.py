@@ -86,13 +86,15 @@ def test_objects_by_prefix(spark, tmp_path):
 def test_query_parse():
     q = Q.parse('Crawl "Search Engine" AND (re-use OR crawl) NOT site:Ex.com "search engine"')
     assert q.terms == ["crawl", "re-use"] and q.phrases == [["search", "engine"]] and q.operators == ["AND", "OR", "NOT"] and q.fields == [("domain", "ex.com")]
+    assert Q.parse("a NOT B-c d").excluded == ["b-c"] and Q.parse("a NOT B-c d").terms == ["a", "d"]
     assert [k for k, _ in Q.lex("(a)")] == ["LPAREN", "TERM", "RPAREN"] and Q.parse("").terms == []
 
 
 def test_query_columns(spark):
-    kinds = {"http://a.b": "URL", "a@b.c": "EMAIL", "1,5": "NUMBER", "AND": "OPERATOR", "--": "SYMBOL", "x1": "TERM"}
+    kinds = {"http://a.b": "URL", "a@b.c": "EMAIL", "15": "NUMBER", "1,5": "SYMBOL", "and": "OPERATOR", "re-use": "SYMBOL", "x1": "TERM"}
     for t, want in kinds.items():
         assert one(spark, Q.token_kind(F.lit(t))) == want
+    assert one(spark, Q.bare_token(F.lit("(word)!,"))) == "word"
     for t, want in (("How does it work", "explanation"), ("how many", "method"), ("Is it so?", "question"), ("", "unknown"), ("It is.", "statement")):
         assert one(spark, Q.question_kind(F.lit(t))) == want
     assert one(spark, Q.script(F.lit("abc где")) ) == "Latin" and one(spark, Q.script(F.lit("12"))) == "Unknown" and one(spark, Q.script(F.lit("где a"))) == "Cyrillic"
@@ -113,8 +115,21 @@ def test_facts_and_sentences(spark):
     df = spark.createDataFrame([(1, "Rome is located in Italy. A crawler is a program!  Nodes are small? Plain text"), (2, None)], "id int, t string")
     s = present.sentences(df, "id", "t")
     assert [r.sentence for r in s.orderBy("n").collect()] == ["Rome is located in Italy.", "A crawler is a program!", "Nodes are small?", "Plain text"]
-    f = [tuple(r.f)[:3] if r.f else None for r in s.orderBy("n").select(present.facts(F.col("sentence")).alias("f")).collect()]
-    assert f == [("Rome", "located in", "Italy"), ("A crawler", "is", "program"), ("Nodes", "are", "small"), None]
+    f = [[tuple(x)[:3] for x in r.f] for r in s.orderBy("n").select(present.facts(F.col("sentence")).alias("f")).collect()]
+    assert f == [[("Rome", "located in", "Italy")], [("A crawler", "definition", "program")], [("Nodes", "definition", "small")], []]
+
+
+def test_a_sentence_that_defines_and_relates(spark):
+    facts = lambda t: [tuple(x)[:3] for x in one(spark, present.facts(F.lit(t)))]
+    assert facts("Spark is the engine that uses shuffle.") == [("Spark", "definition", "engine that uses shuffle"), ("Spark is the engine that", "uses", "shuffle")]
+    assert facts("; Rome, is part of Italy ,!") == [("Rome", "part of", "Italy")]
+    assert facts(f"A is a {'long ' * 41}one.") == [] and facts("") == [] and one(spark, present.facts(F.lit(None).cast("string"))) == []
+
+
+def test_entities(spark):
+    runs = lambda t: one(spark, present.entities(F.lit(t)))
+    assert runs('Who met "Ada Lovelace" and ada LOVELACE, or Élise (Paris)?') == ["Who", "Ada Lovelace", "LOVELACE", "Élise Paris"]
+    assert runs("") == [] and one(spark, present.entities(F.lit(None).cast("string"))) == []
 
 
 def test_related_and_concepts(spark):

@@ -51,5 +51,15 @@ def test_unknown_times_and_empty_tables(spark):
 
 def test_repeated_children_and_report(spark):
     kids = [("p", "c", "k", 86400.0, 1, 1, 1)] * 2 + [("p", "c", "j", 86401.0, 2, 1, 1)]
-    found = orphans.orphans(spark.createDataFrame(kids, KIDS), spark.createDataFrame([], LIVES))
-    assert [tuple(r) for r in orphans.report(found).collect()] == [("c", "1970-01-02", 3, 2)]
+    found = orphans.counts(spark.createDataFrame(kids, KIDS), spark.createDataFrame([], LIVES))
+    assert [tuple(r) for r in found.collect()] == [("c", "1970-01-02", 3, 2)]
+
+
+def test_every_hot_key_is_dealt_out(spark, monkeypatch):
+    """Whatever their number, keys above the bound are salted; the rows are the same."""
+    monkeypatch.setattr(orphans, "PROBE", 1)
+    kids = [("p", "c", f"k{i % 150}", float(i), i, 1, 1) for i in range(3000)]
+    lives = [("p", f"k{i}", 100.0, 2000.0, 1) for i in range(0, 150, 2)]
+    assert run(spark, kids, lives, hot_rows=5) == expected(kids, lives)
+    hot = orphans._hot(spark.createDataFrame(kids, KIDS).drop("salts"), 5)
+    assert hot.count() == 150

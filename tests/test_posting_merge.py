@@ -1,9 +0,0 @@
-from tests.oracle import connect
-from tidemark.plans import crawl
-
-
-def test_segments_of_real_postings(spark, small):
-    """A term's postings reach over all documents, not over made-up ids."""
-    got = crawl.QUERIES["posting_merge"](spark, small)
-    docs = connect(small).execute("select count(*) from documents where text is not null and trim(text) <> ''").fetchone()[0]
-    assert got.select("doc_id").distinct().count() >= docs > 97

@@ -2,6 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import index
 from tidemark.session import scratch
 from tidemark.streaming import flows
 
@@ -28,7 +29,6 @@ def test_dedup_over_batches(spark, tmp_path):
     path = str(tmp_path / "e")
     schema = write(spark, path, [[(at(1), "a")], [(at(2), "a"), (at(2), "b")]], "ts timestamp, k string")
     s = flows.source(spark, path, schema, maxFilesPerTrigger="1")
-    assert sorted(r.k for r in flows.append(flows.dedup(s, ["k"]), "d").collect()) == ["a", "b"]
     assert sorted(r.k for r in flows.append(flows.dedup(s, ["k"], "ts", "1 hour"), "d").collect()) == ["a", "b"]
 
 
@@ -46,7 +46,21 @@ def test_index_segments(spark, tmp_path):
     path = str(tmp_path / "e")
     schema = write(spark, path, [[(1, "a b")], [(2, "b c")]], "doc_id int, t string")
     out = scratch(spark, "seg")
-    flows.index_segments(flows.source(spark, path, schema, maxFilesPerTrigger="1"), lambda b: b.select("doc_id", F.explode(F.split("t", " ")).alias("term")), out, scratch(spark, "state"))
-    got = spark.read.parquet(out)
-    assert got.select("segment_id").distinct().count() == 2
-    assert sorted((r.doc_id, r.term) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "b"), (2, "c")]
+    add = lambda b, n: index.add_segment(spark, out, b, [("body", "t")], n, buckets=2)
+    flows.index_segments(flows.source(spark, path, schema, maxFilesPerTrigger="1"), add, scratch(spark, "state"))
+    made = index.Index.open(spark, out)
+    assert len(made.segments) == 2
+    assert sorted((r.doc_id, r.term) for r in made.postings().collect()) == [(1, "a"), (1, "b"), (2, "b"), (2, "c")]
+
+
+def test_delivery_retries_and_gives_up(spark, tmp_path):
+    path = str(tmp_path / "m")
+    write(spark, path, [[(1, 0), (2, 1), (3, 9)]], "message_id long, fails int")
+    done, dead = flows.deliver(spark, path, lambda m: m.withColumn("failed", F.col("fails") >= F.col("__attempt")))
+    assert sorted(map(tuple, done.collect())) == [(1, 1, 0.0), (2, 2, 2.0)]
+    assert list(map(tuple, dead.collect())) == [(3, 3, 6.0)]
+
+
+def test_fencing(spark):
+    w = spark.createDataFrame([("k", 1, 5), ("k", 2, 4), ("k", 3, 5), ("k", 4, None), ("j", 1, 1)], "k string, n int, t int")
+    assert sorted((r.k, r.n, r.accepted) for r in flows.fenced(w, "k", "t", "n").collect()) == [("j", 1, True), ("k", 1, True), ("k", 2, False), ("k", 3, True), ("k", 4, False)]

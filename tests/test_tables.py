@@ -89,6 +89,6 @@ def test_graph(spark):
     assert {r.node: r.hops for r in graph.within(e, start, 2).collect()} == {"a": 0, "b": 1, "c": 2}
     assert graph.within(e, start.limit(0), 2).collect() == []
     facts = spark.createDataFrame([("s", "p", "1", 0.5), ("s", "p", "1", 0.6), ("s", "p", "2", 0.7), ("s", "q", "1", 0.1)], "subject string, predicate string, value string, confidence double")
-    assert [(r.subject, r.predicate, r["values"], r.first, r.last) for r in graph.conflicts(facts).collect()] == [("s", "p", 2, "1", "2")]
+    assert [(r.subject, r.predicate, r["values"], r.first, r.second) for r in graph.conflicts(facts).collect()] == [("s", "p", 2, "1", "2")]
     act = spark.createDataFrame([("a", 1.0)], "node string, strength double")
     assert {r.node: r.strength for r in graph.spread(act, e).collect()} == {"a": 1.0, "b": 0.75}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,19 +32,29 @@ TOKEN = r"([a-z0-9\p{L}\p{N}]++(?:['’-][a-z0-9\p{L}\p{N}]++)*+)"
 
 
 def fold(c: Column) -> Column:
-    """Lower case, with the foldings that lower case lacks (sharp s, final sigma). Null gives the empty text.
+    """Compatibility characters and letter cases made one (NFKC, then full case folding). Null gives the empty text.
 
-    ``nfkc_fold`` in ``functions.udfs`` also folds compatibility characters.
+    ASCII texts are put in lower case; others go through the ICU library that Spark brings along, in the JVM.
     """
-    out = F.coalesce(c, F.lit(""))
-    for old, new in (("Σ", "σ"), ("ẞ", "ß"), (None, None), ("ς", "σ"), ("ß", "ss")):
-        out = F.replace(out, F.lit(old), F.lit(new)) if old else F.lower(out)
-    return out
+    c = F.coalesce(c, F.lit(""))
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.when(F.octet_length(c) > F.char_length(c), folded).otherwise(F.lower(c))
+
+
+def folded(text: str) -> str:
+    """The same for one text of the driver."""
+    return unicodedata.normalize("NFKC", text).casefold()
 
 
 def tokens(c: Column) -> Column:
     """Array of search tokens in order; empty for null."""
-    return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(1))
+    return folded_tokens(fold(c))
+
+
+def folded_tokens(c: Column) -> Column:
+    """Search tokens of a text that is folded already."""
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1))
 
 
 def ascii_words(c: Column) -> Column:

@@ -79,25 +79,40 @@ def change_state(status: Column, content: Column, before: Column, seen: Column)
     )
 
 
-def clamped_feedback(events: DataFrame, key: str, order: str, step: str, low: int = -20, high: int = 20) -> DataFrame:
+def clamped_feedback(events: DataFrame, key: str, order: str, step: str, low: int = -20, high: int = 20, block: int = 1024) -> DataFrame:
     """Running score of each key, clamped after every step in order: (key, score).
 
-    A step of +1 or -1 maps a score x to ``min(max(x + a, b), c)``; such maps can be put together, so steps are first
-    folded in blocks of a key's order and then the blocks' maps: no task holds a key's whole history.
+    Steps of a score form maps ``min(max(x + a, b), c)``, and such maps can be put together: those of ``block`` orders in
+    a row make one, of ``block`` such blocks one again, until a key has one left. No task holds more than 2 x ``block``
+    maps of a key. Steps of equal order are added up first, those down before those up. Null keys, orders and steps
+    don't count; orders are whole numbers.
     """
-    block = 4096
-    w = Window.partitionBy(key, "__part").orderBy(order)
-    parted = events.where(F.col(key).isNotNull()).withColumn("__part", F.floor(F.col(order) / block))
-    parted = parted.withColumn("__i", F.row_number().over(w))
-    one = F.array_sort(F.collect_list(F.struct("__i", F.col(step).cast("int").alias("s"))))
-
-    def then(m: Column, a: Column, b: Column, c: Column) -> Column:
-        # first m, then min(max(x + a, b), c)
-        lo = F.least(F.greatest(m["b"] + a, b), c)
-        hi = F.least(F.greatest(m["c"] + a, b), c)
-        return F.struct((m["a"] + a).alias("a"), lo.alias("b"), hi.alias("c"))
-
-    start = F.struct(F.lit(0).alias("a"), F.lit(low).alias("b"), F.lit(high).alias("c"))
-    maps = parted.groupBy(key, "__part").agg(F.aggregate(one, start, lambda m, x: then(m, x["s"], F.lit(low), F.lit(high))).alias("m"))
-    whole = maps.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("__part", "m"))), start, lambda m, x: then(m, x["m"]["a"], x["m"]["b"], x["m"]["c"])).alias("m"))
-    return whole.select(key, F.least(F.greatest(F.col("m.a"), F.col("m.b")), F.col("m.c")).alias("score"))
+    at, by = F.col(order).cast("long"), F.col(step).cast("long")
+    known = events.where(F.col(key).isNotNull() & at.isNotNull() & by.isNotNull() & (by != 0))
+    sums = known.groupBy(key, at.alias("__at"), (by > 0).alias("__up")).agg(F.sum(by).alias("a"))
+    maps = sums.select(key, "__at", F.col("__up").cast("int").alias("__i"), F.struct("a", F.lit(low).cast("long").alias("b"), F.lit(high).cast("long").alias("c")).alias("m"))
+    ends = known.agg(F.max(F.abs(at))).first()[0]
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(low).cast("long").alias("b"), F.lit(high).cast("long").alias("c"))
+
+    def then(m: Column, n: Column) -> Column:
+        """First m, then n."""
+        return F.struct((m["a"] + n["a"]).alias("a"), F.least(F.greatest(m["b"] + n["a"], n["b"]), n["c"]).alias("b"), F.least(F.greatest(m["c"] + n["a"], n["b"]), n["c"]).alias("c"))
+
+    width = 1
+    while True:
+        width *= block
+        part = F.floor(F.col("__at") / width) if width <= 2 * (ends or 0) else F.lit(0).cast("long")
+        held = F.array_sort(F.collect_list(F.struct("__at", "__i", "m")))
+        maps = maps.groupBy(key, part.alias("__part")).agg(F.aggregate(held, start, lambda m, x: then(m, x["m"])).alias("m"), F.min("__at").alias("__at")).select(key, "__at", F.lit(0).alias("__i"), "m")
+        if width > 2 * (ends or 0):
+            return maps.select(key, F.least(F.greatest(F.col("m.a"), F.col("m.b")), F.col("m.c")).cast("int").alias("score"))
+
+
+def failure_backoff(failures: Column, base: float = 30.0, most: float = 3600.0) -> Column:
+    """Seconds to wait after so many failures in a row: doubled each time, up to a limit; 0 without a failure."""
+    return F.when(failures > 0, F.least(F.lit(most), base * F.pow(F.lit(2.0), F.least(failures, F.lit(40)) - 1))).otherwise(0.0)
+
+
+def overtakes(waiting: Column, waiting_since: Column, new: Column, new_since: Column, now: float, **aging: float) -> Column:
+    """Whether what waits comes before what is new, both with the bonus for their waiting."""
+    return waiting + aging_bonus(waiting_since, now, **aging) > new + aging_bonus(new_since, now, **aging)

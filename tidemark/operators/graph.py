@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -48,10 +48,12 @@ def within(edge: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def conflicts(facts: DataFrame) -> DataFrame:
-    """(subject, predicate) with several values: their number and the first two in order."""
-    each = facts.where(F.col("value").isNotNull()).groupBy("subject", "predicate", "value").agg(F.max("confidence").alias("confidence"))
-    out = each.groupBy("subject", "predicate").agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
-    return out.where("n > 1").select("subject", "predicate", F.col("n").alias("values"), "first", "last")
+    """(subject, predicate) with several values: their number, and the first and second in order."""
+    each = facts.where(F.col("value").isNotNull()).select("subject", "predicate", "value").distinct()
+    n = each.groupBy("subject", "predicate").agg(F.count("*").alias("values")).where("values > 1")
+    rank = F.row_number().over(Window.partitionBy("subject", "predicate").orderBy("value"))
+    two = each.withColumn("__n", rank).where("__n <= 2").groupBy("subject", "predicate").agg(F.max(F.when(F.col("__n") == 1, F.col("value"))).alias("first"), F.max(F.when(F.col("__n") == 2, F.col("value"))).alias("second"))
+    return n.join(two, ["subject", "predicate"])
 
 
 def spread(activation: DataFrame, edge: DataFrame, decay: float = 0.75) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold
+from tidemark.operators.scan import running_sum
 
 
 def net_evidence(rows: DataFrame, key: str, weight: str) -> DataFrame:
@@ -77,6 +78,5 @@ def compared(rows: DataFrame, key: str, order: str, parts: Sequence[str]) -> Dat
 
 
 def allocate(rows: DataFrame, key: str, cost: str, order: Sequence[Column], capacity: float) -> DataFrame:
-    """Rows of each key, in order, as long as the sum of their costs keeps within a capacity."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__used", F.sum(cost).over(w)).where(F.col("__used") <= capacity).drop("__used")
+    """Rows of each key, in an order without ties, as long as the sum of their costs keeps within a capacity."""
+    return running_sum(rows, [key], order, cost, "__used").where(F.col("__used") <= capacity).drop("__used")

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import day_of
+from tidemark.session import materialize
 
-#: At most so many keys are treated as hot; each key beyond them holds less than 1 / HOT_KEYS of the rows.
-HOT_KEYS = 1000
+#: One child in so many, by hash, tells which keys are hot; all children are swept.
+PROBE = 64
+#: A hot key holds at least this share of all children, so that there are at most 1 / SHARE of them.
+SHARE = 1 / 50_000
 
 
 def _time(c: Column, null: str) -> Column:
@@ -22,9 +25,36 @@ def _time(c: Column, null: str) -> Column:
 
 
 def _hot(children: DataFrame, hot_rows: int) -> DataFrame:
-    """(ref, key, salts) of the heaviest keys, HOT_KEYS rows at most."""
-    counts = children.groupBy("ref", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
-    return counts.orderBy(F.col("n").desc(), "ref", "key").limit(HOT_KEYS).select("ref", "key", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts"))
+    """(ref, key, salts) of keys with more than ``hot_rows`` children and more than SHARE of them all.
+
+    Whether a key is hot decides how it's dealt to tasks, not what comes out, so a probe by hash is enough.
+    """
+    probe = materialize(children.where(F.pmod(F.xxhash64("tbl", *[c for c in ("id",) if c in children.columns], "t"), F.lit(PROBE)) == 0).groupBy("ref", "key").agg(F.count("*").alias("n")), "hot")
+    all_ = probe.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(hot_rows / PROBE, all_ * SHARE, 1)
+    return F.broadcast(probe.where(F.col("n") > least).select("ref", "key", F.ceil(F.col("n") / least).cast("int").alias("salts")))  # 1 / SHARE rows at most
+
+
+def _swept(children: DataFrame, parents: DataFrame, carried: list[str], salt: Column, hot_rows: int) -> DataFrame:
+    """Children without a live parent: ref, key, tbl, at (infinite: unknown) and the carried columns."""
+    kids = children.where(F.col("key").isNotNull())
+    hot = _hot(kids, hot_rows)
+    nothing = F.lit(None)
+    kids = kids.join(hot, ["ref", "key"], "left").select("ref", "key", F.pmod(salt, F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), _time(F.col("t"), "inf").alias("at"), F.lit(0).alias("delta"), "tbl", *carried)
+    lives = parents.where(F.col("key").isNotNull()).select("ref", "key", _time(F.col("added"), "-inf").alias("added"), _time(F.col("removed"), "inf").alias("removed"))
+    # Repeated parents are dropped before they're repeated for the salts.
+    lives = lives.where(F.col("removed") > F.col("added")).distinct().join(hot, ["ref", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    ends = lives.select("ref", "key", "salt", F.explode(F.array(F.struct(F.col("added").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("removed").alias("at"), F.lit(-1).alias("delta")))).alias("e"))
+    ends = ends.where((F.col("e.delta") > 0) | (F.col("e.at") < float("inf")))
+    kinds = dict(kids.dtypes)
+    ends = ends.select("ref", "key", "salt", F.col("e.at").alias("at"), F.col("e.delta").alias("delta"), *[nothing.cast(kinds[c]).alias(c) for c in ("tbl", *carried)])
+    # At one time parents come before children.
+    sweep = Window.partitionBy("ref", "key", "salt").orderBy("at", (F.col("delta") == 0)).rowsBetween(Window.unboundedPreceding, 0)
+    return kids.unionByName(ends).withColumn("live", F.sum("delta").over(sweep)).where((F.col("delta") == 0) & (F.col("live") <= 0)).drop("salt", "delta", "live")
+
+
+def _period() -> Column:
+    return day_of(F.when(F.col("at") < float("inf"), F.col("at")))
 
 
 def orphans(children: DataFrame, parents: DataFrame, *, hot_rows: int = 200_000) -> DataFrame:
@@ -35,23 +65,20 @@ def orphans(children: DataFrame, parents: DataFrame, *, hot_rows: int = 200_000)
     null period. Repeated children come out each time, repeated parents don't matter. Rows out: tbl, period
     (UTC day), id, key. No children: no rows; no parents: every child.
 
-    Keys with more than ``hot_rows`` children are salted; their parents' few rows are repeated for each salt.
+    Keys of more than ``hot_rows`` children and of more than 1 / 50,000 of them all are salted, their parents' few rows
+    repeated for each salt; any other key is a small part of a task's share.
     """
-    kids = children.where(F.col("key").isNotNull()).select("ref", "tbl", "key", "t", "id")
-    hot = F.broadcast(_hot(kids, hot_rows))  # HOT_KEYS rows at most
-    kids = kids.join(hot, ["ref", "key"], "left").select("ref", "key", F.pmod(F.xxhash64("tbl", "id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), _time(F.col("t"), "inf").alias("at"), F.lit(1).alias("child"), F.lit(0).alias("delta"), "tbl", "id", "t")
-    lives = parents.where(F.col("key").isNotNull()).select("ref", "key", _time(F.col("added"), "-inf").alias("added"), _time(F.col("removed"), "inf").alias("removed"))
-    # Repeated parents are dropped before they're repeated for the salts.
-    lives = lives.where(F.col("removed") > F.col("added")).distinct().join(hot, ["ref", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    ends = lives.select("ref", "key", "salt", F.explode(F.array(F.struct(F.col("added").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("removed").alias("at"), F.lit(-1).alias("delta")))).alias("e"))
-    ends = ends.where((F.col("e.delta") > 0) | (F.col("e.at") < float("inf")))
-    ends = ends.select("ref", "key", "salt", F.col("e.at").alias("at"), F.lit(0).alias("child"), F.col("e.delta").alias("delta"), F.lit(None).cast("string").alias("tbl"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("t"))
-    sweep = Window.partitionBy("ref", "key", "salt").orderBy("at", "child").rowsBetween(Window.unboundedPreceding, 0)
-    return kids.unionByName(ends).withColumn("live", F.sum("delta").over(sweep)).where((F.col("child") == 1) & (F.col("live") <= 0)).select("tbl", day_of(F.col("t")).alias("period"), "id", "key")
+    kids = children.select("ref", "tbl", "key", "t", F.col("id").cast("long").alias("id"))
+    return _swept(kids, parents, ["id"], F.xxhash64("tbl", "id"), hot_rows).select("tbl", _period().alias("period"), "id", "key")
 
 
-def report(found: DataFrame) -> DataFrame:
-    """Orphan references and their keys per table and day."""
-    # Two steps, so that one day's or one key's rows are added up before the shuffle.
-    keys = found.groupBy("tbl", "period", "key").agg(F.count("*").alias("n"))
+def counts(children: DataFrame, parents: DataFrame, *, hot_rows: int = 200_000) -> DataFrame:
+    """Orphan references and their keys per table and day: (tbl, period, orphans, orphan_keys).
+
+    Children are added up by key and time before the sweep, which carries counts, no rows; what one day or one key holds
+    is added up before it's shuffled.
+    """
+    kids = children.where(F.col("key").isNotNull()).groupBy("ref", "tbl", "key", "t").agg(F.count("*").alias("n"))
+    found = _swept(kids, parents, ["n"], F.xxhash64("tbl", "t"), hot_rows)
+    keys = found.groupBy("tbl", _period().alias("period"), "key").agg(F.sum("n").alias("n"))
     return keys.groupBy("tbl", "period").agg(F.sum("n").alias("orphans"), F.count("*").alias("orphan_keys"))

@@ -1,213 +1,143 @@
-"""Keyword search: retrieval, scoring, top results.
+"""Keyword search over a stored index: retrieval, scoring, top results.
 
-A search is one pass over the documents: tokens are cut to those of the query before anything is
-shuffled, and the statistics of the corpus (documents, average length, document frequencies) are one
-row that joins every candidate.
+A search reads the buckets of its terms only. Its statistics (documents, average length, frequencies of the terms) are
+stored; lengths and fields stand in the postings themselves; the full profile joins the candidates with the stored
+signals of documents. No text is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ascii_words, fold, tokens
-from tidemark.session import materialize
+from tidemark.functions.query import Query
+from tidemark.functions.text import folded
+from tidemark.operators import ranking
+from tidemark.operators.index import Index
 
-K1, B = 1.2, 0.75
-#: Fields of a document beside its body, with the factors of their multiplier (fixed values).
-EXACT_TITLE, ALL_TITLE, ALL_URL, ANY_TITLE, ANY_URL, ALL_DOMAIN, ANY_DOMAIN, BODY, NONE = 8.0, 5.0, 4.0, 2.5, 2.0, 4.0, 2.0, 1.0, 0.25
+#: Postings of the rarest term up to which they're broadcast to those of the others.
+BROADCAST_POSTINGS = 100_000
 
 
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query in order of their first place."""
-    import re
-    import unicodedata
+    return list(dict.fromkeys(re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", folded(query))))
 
-    text = unicodedata.normalize("NFKC", query).casefold()
-    return list(dict.fromkeys(re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", text)))
 
+def selectivity(frequencies: dict[str, int], terms: Sequence[str]) -> list[str]:
+    """Terms in the order in which they're looked up: the rarest first, then by their place in the query."""
+    return sorted(terms, key=lambda t: (frequencies.get(t, 0), terms.index(t)))
 
-def candidates(documents: DataFrame, terms: Sequence[str], fields: Sequence[tuple[str, str]], extra: Sequence[Mapping[str, Column]] | None = None) -> DataFrame:
-    """One row a document: length, and for each query term its places (array<array<int>> ``at``), as a written table.
-
-    Nothing is exploded or shuffled. Documents without any token are left out. ``extra`` columns are worked out in the
-    same pass, step by step, for documents with a query term only; those named with a leading ``__`` aren't kept.
-    """
-    all_ = F.concat(*[tokens(F.col(c)) for _, c in fields])
-    numbered = F.transform(F.col("__t"), lambda x, i: F.when(x.isin(*terms), F.struct(x.alias("term"), i.alias("pos"))))
-    hits = documents.withColumn("__t", all_).withColumn("__h", F.when(F.arrays_overlap("__t", F.array(*map(F.lit, terms))), F.filter(numbered, lambda x: x.isNotNull())).otherwise(F.array()))
-
-    def places(t: str) -> Column:
-        return F.transform(F.filter("__h", lambda x: x["term"] == t), lambda x: x["pos"])
-
-    for step in extra or ():
-        hits = hits.withColumns({n: F.when(F.size("__h") > 0, c) for n, c in step.items()})
-    kept = [n for step in extra or () for n in step if not n.startswith("__")]
-    out = hits.where(F.size("__t") > 0).select("doc_id", F.size("__t").alias("length"), F.array(*map(places, terms)).alias("at"), *kept)
-    return materialize(out, "candidates")
-
-
-def _texts(documents: DataFrame, query: str, terms: Sequence[str], of: Mapping[str, str], now: float) -> list[dict[str, Column]]:
-    """Steps towards what the full profile takes from a document's texts. Words and tokens are cut once each."""
-    title, url, domain, body = (F.col(of[f]) for f in ("title", "url", "domain", "body"))
-    crawled = F.col("crawled") if "crawled" in documents.columns else F.lit(None).cast("double")
-
-    def hits(c: Column) -> Column:
-        return F.size(F.array_intersect(tokens(c), F.array(*map(F.lit, terms))))
-
-    words = F.col("__words")
-    signals = 1 + 0.1 * freshness(crawled, now) + 0.1 * quality(title, words) + 0.05 * trust(url, title, words) - 0.2 * spam(title, words, url, F.col("__share"))
-    bonus = 8 * title_bonus(query, title) + 4 * 3 * substring_share(terms, title) + 3 * 1.5 * substring_share(terms, url)
-    found = [F.col(f"__in_{f}") for f in ("title", "url", "domain", "body")]
-    return [
-        {"__words": ascii_words(body), **{f"__in_{f}": hits(F.col(of[f])) for f in ("title", "url", "domain", "body")}},
-        {"__share": top_share(words)},
-        {"signals": signals, "factor": field_multiplier(query, terms, title, url, *found), "bonus": bonus, "strong": found[0] + found[1] + found[2] > 0},
-    ]
-
-
-def corpus_stats(found: DataFrame, n_terms: int) -> DataFrame:
-    """One row: documents, average length, document frequency of each query term."""
-    return found.agg(F.count("*").alias("docs"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"), F.array(*[F.count_if(F.size(F.col("at")[i]) > 0) for i in range(n_terms)]).alias("df"))
 
+def candidates(index: Index, terms: Sequence[str], mode: str = "or", columns: Sequence[str] = ("tf", "positions", "fields"), frequencies: dict[str, int] | None = None) -> DataFrame:
+    """Documents with any (or) or every (and) term: doc_id, length, and ``<column><i>`` for each term i, null where it's absent.
 
-def matched(found: DataFrame, terms: Sequence[str], mode: str) -> DataFrame:
-    """Documents with any (or) or every (and) query term; adds their matched terms."""
-    has = [F.size(F.col("at")[i]) > 0 for i in range(len(terms))]
-    names = F.filter(F.array(*[F.when(h, F.lit(t)) for h, t in zip(has, terms, strict=True)]), lambda x: x.isNotNull())
-    return found.withColumn("matched_terms", names).where(F.size("matched_terms") >= (len(terms) if mode == "and" else 1))
-
-
-def idf(docs: Column, df: Column) -> Column:
-    df = F.least(df, docs)
-    return F.when((docs > 0) & (df > 0), F.log1p((docs - df + 0.5) / (df + 0.5))).otherwise(0.0)
-
-
-def bm25(n_terms: int) -> Column:
-    """Sum of term scores over a candidate that has joined the corpus's statistics."""
-    norm = K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
-    score = F.lit(0.0)
-    for i in range(n_terms):
-        tf = F.size(F.col("at")[i])
-        score = score + idf(F.col("docs"), F.col("df")[i]) * tf * (K1 + 1) / (tf + norm)
-    return score
-
-
-def proximity(at: Column, n_terms: int) -> Column:
-    """1 / (1 + smallest span that holds every term); 0 for a term without place or a single term.
-
-    The smallest span ends, or starts, at some place of some term: for each place as its end, every other term's
-    last place before it.
+    Postings of all terms are added up by document, in one shuffle of the terms' buckets. Where every term is asked for,
+    the rarest one's documents come first: a short list is broadcast to the others, whose postings are never shuffled; a
+    term without postings ends the search before any is read.
     """
-    if n_terms < 2:
-        return F.lit(0.0)
-    far = F.lit(1 << 30)
-
-    def span(p: Column) -> Column:
-        lows = [F.array_max(F.filter(at[i], lambda q: q <= p)) for i in range(n_terms)]
-        low = F.least(*[F.coalesce(x, -far) for x in lows])
-        return F.when(low >= 0, p - low).otherwise(far)
-
-    best = F.array_min(F.transform(F.flatten(at), span))
-    return F.when(best < far, 1 / (1 + best)).otherwise(0.0)
-
-
-def gap_proximity(positions: Column) -> Column:
-    """1 / (1 + average gap) of a term's places in order; 0 below two."""
-    n = F.size(positions)
-    return F.when(n >= 2, 1 / (1 + (F.array_max(positions) - F.array_min(positions)) / (n - 1))).otherwise(0.0)
-
-
-def quality(title: Column, words: Column) -> Column:
-    """Length and variety of a text's ASCII words, and whether it has a title."""
-    n = F.size(words)
-    score = F.when(F.length(F.trim(F.coalesce(title, F.lit("")))) > 0, 0.2).otherwise(0.0)
-    for least, part in ((20, 0.2), (100, 0.15), (300, 0.15), (800, 0.1)):
-        score = score + F.when(n >= least, part).otherwise(0.0)
-    return score + F.when(n > 0, F.least(F.lit(0.2), 0.2 * F.size(F.array_distinct(words)) / n)).otherwise(0.0)
-
-
-def top_share(words: Column) -> Column:
-    """Share of the most frequent word: the longest run in the sorted words."""
-    runs = F.aggregate(
-        F.array_sort(words),
-        F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda s, w: F.struct(w.alias("w"), F.when(s["w"] == w, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["best"], F.when(s["w"] == w, s["n"] + 1).otherwise(1)).alias("best")),
-    )
-    return runs["best"] / F.greatest(F.size(words), F.lit(1))
-
-
-def spam(title: Column, words: Column, url: Column, share: Column) -> Column:
-    """Repetition of one word (``share`` of the most frequent), marked urls, long titles."""
-    score = F.when(share >= 0.4, 0.65).when(share >= 0.25, 0.35).otherwise(0.0)
-    score = score + F.when((F.size(words) >= 12) & (share >= 0.25), 0.15).otherwise(0.0)
-    score = score + F.when(F.lower(F.coalesce(url, F.lit(""))).rlike("casino|betting|viagra|payday-loan"), 0.1).otherwise(0.0)
-    score = score + F.when(F.size(F.split(F.trim(F.coalesce(title, F.lit(""))), r"\s+")) > 25, 0.1).otherwise(0.0)
-    return F.when(F.size(words) > 0, F.least(score, F.lit(1.0))).otherwise(0.0)
-
-
-def trust(url: Column, title: Column, words: Column) -> Column:
-    u = F.lower(F.trim(F.coalesce(url, F.lit(""))))
-    score = F.lit(0.45) + F.when(u.startswith("https://"), 0.2).otherwise(0.0)
-    score = score + F.when(F.length(F.coalesce(title, F.lit(""))) > 0, 0.1).otherwise(0.0)
-    score = score + F.when(F.size(words) >= 100, 0.1).otherwise(0.0)
-    score = score + F.when(u != "", 0.05).otherwise(0.0)
-    return score - F.when(~u.contains("://") | u.contains(" "), 0.2).otherwise(0.0)
-
-
-def freshness(crawled: Column, now: float, half_life_days: float = 30.0) -> Column:
-    """Half-life decay of the age in seconds; 0.5 where it isn't known."""
-    return F.when(crawled.isNull(), 0.5).otherwise(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), now - crawled) / (max(1.0, half_life_days) * 86400)))
-
-
-def substring_share(terms: Sequence[str], text: Column) -> Column:
-    """Share of the terms that stand in a text, as substrings."""
-    return sum((F.when(fold(text).contains(t), 1).otherwise(0) for t in terms), F.lit(0)) / len(terms)
-
-
-def title_bonus(query: str, title: Column) -> Column:
-    q, t = fold(F.lit(query.strip())), F.trim(fold(title))
-    return F.when((q == "") | (t == ""), 0.0).when(q == t, 5.0).when(t.contains(q), 1.5).otherwise(0.0)
-
-
-def field_multiplier(query: str, terms: Sequence[str], title: Column, url: Column, in_title: Column, in_url: Column, in_domain: Column, in_body: Column) -> Column:
-    """Factor by the field in which the query is represented best; the first case that holds. in_*: terms in a field."""
-    n, q = len(terms), fold(F.lit(query.strip()))
-    return (
-        F.when((q != "") & (q == fold(title)), EXACT_TITLE)
-        .when(in_title == n, ALL_TITLE)
-        .when((in_url == n) | fold(url).contains(q), ALL_URL)
-        .when(in_title > 0, ANY_TITLE)
-        .when(in_url > 0, ANY_URL)
-        .when(in_domain == n, ALL_DOMAIN)
-        .when(in_domain > 0, ANY_DOMAIN)
-        .when(in_body > 0, BODY)
-        .otherwise(NONE)
-    )
-
-
-def search(documents: DataFrame, query: str, *, fields: Sequence[tuple[str, str]], mode: str = "or", k: int = 10, profile: str = "bm25", now: float = 0.0) -> DataFrame:
+    known = index.frequencies(terms) if frequencies is None else frequencies
+    names = [f"{c}{i}" for i in range(len(terms)) for c in columns]
+
+    def of(i: int) -> DataFrame:
+        return index.postings([terms[i]]).select("doc_id", "length", *[F.col(c).alias(f"{c}{i}") for c in columns])
+
+    if not known or (mode == "and" and len(known) < len(terms)):
+        some = index.postings(terms[:1]).where(F.lit(False))
+        return some.select("doc_id", "length", *[F.lit(None).cast(dict(some.dtypes)[c]).alias(f"{c}{i}") for i in range(len(terms)) for c in columns])
+    rarest = selectivity(known, terms)
+    if len(terms) == 1:
+        return of(0)
+    if mode == "and" and known[rarest[0]] <= BROADCAST_POSTINGS:
+        at = [terms.index(t) for t in rarest]
+        return reduce(lambda found, i: of(i).join(F.broadcast(found.drop("length")), "doc_id"), at[1:], of(at[0])).select("doc_id", "length", *names)  # BROADCAST_POSTINGS rows at most
+    rows = index.postings(terms).select("doc_id", "length", "term", F.struct(*columns).alias("p"))
+    sums = rows.groupBy("doc_id").agg(F.first("length").alias("length"), *[F.first(F.when(F.col("term") == t, F.col("p")), ignorenulls=True).alias(f"p{i}") for i, t in enumerate(terms)])
+    if mode == "and":
+        sums = sums.where(reduce(Column.__and__, [F.col(f"p{i}").isNotNull() for i in range(len(terms))]))
+    return sums.select("doc_id", "length", *[F.col(f"p{i}.{c}").alias(f"{c}{i}") for i in range(len(terms)) for c in columns])
+
+
+def matched_terms(terms: Sequence[str], column: str = "tf") -> Column:
+    """Terms of the query that a candidate holds, in the query's order."""
+    return F.filter(F.array(*[F.when(F.col(f"{column}{i}").isNotNull(), F.lit(t)) for i, t in enumerate(terms)]), lambda x: x.isNotNull())
+
+
+def bm25(index: Index, terms: Sequence[str], frequencies: dict[str, int]) -> Column:
+    docs = F.lit(float(index.docs))
+    scores = [ranking.term_score(F.col(f"tf{i}"), F.col("length"), ranking.idf(docs, F.lit(float(frequencies.get(t, 0)))), index.average_length) for i, t in enumerate(terms)]
+    return sum(scores, F.lit(0.0))
+
+
+def _hits(terms: Sequence[str], numbers: Sequence[int], at: Sequence[int] | None = None) -> Column:
+    """How many terms stand in any of the fields with these numbers."""
+    mask = sum(1 << n for n in numbers)
+    return sum((F.when(F.coalesce(F.col(f"fields{i}").bitwiseAND(mask), F.lit(0)) != 0, 1).otherwise(0) for i in (at if at is not None else range(len(terms)))), F.lit(0))
+
+
+def _wanted(index: Index, terms: Sequence[str], parsed: Query) -> Column:
+    """What a parsed query asks for besides its terms: whole phrases, terms in fields, none of what is excluded."""
+    there = lambda t: F.col(f"tf{terms.index(t)}").isNotNull()
+    number = {f: n for n, f in enumerate(index.fields)}
+    out = F.lit(True)
+    for p in parsed.phrases:
+        at = [F.col(f"positions{terms.index(t)}") for t in p]
+        out = out & reduce(Column.__and__, [there(t) for t in p]) & (F.size(ranking.phrase_places(at)) > 0)
+    for name, value in parsed.fields:
+        for t in query_terms(value):
+            out = out & (_hits(terms, [number[name]], [terms.index(t)]) > 0 if name in number else F.lit(False))
+    for t in parsed.excluded:
+        out = out & ~there(t)
+    return out
+
+
+def search(index: Index, query: str | Query, *, mode: str = "or", k: int = 10, profile: str = "bm25", now: float = 0.0) -> DataFrame:
     """Top k documents: doc_id, score, matched (number of matched terms), rank.
 
     profile ``bm25``: term scores alone. ``full``: with coverage, proximity, title and url bonuses, quality signals and
     field multiplier; of queries of several terms, documents with fewer than half of them drop out unless title, url or
-    domain holds a term. Order: score, matched terms, smaller id. An empty query gives no rows.
+    domain holds a term. Order: score, matched terms, smaller id. An empty query gives no rows. A parsed query
+    (``functions.query.parse``) also holds its phrases, fields and exclusions; excluded terms don't score.
     """
-    terms = query_terms(query)
-    if not terms:
-        return documents.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("rank")).limit(0)
-    found = candidates(documents, terms, fields, _texts(documents, query, terms, dict(fields), now) if profile != "bm25" else None)
-    extra = () if profile == "bm25" else ("signals", "factor", "bonus", "strong")
-    rows = matched(found, terms, mode).crossJoin(F.broadcast(corpus_stats(found, len(terms))))  # one row
-    rows = rows.select("doc_id", F.size("matched_terms").alias("matched"), bm25(len(terms)).alias("bm25"), proximity(F.col("at"), len(terms)).alias("near"), *extra)
-    if profile == "bm25":
-        rows = rows.withColumn("score", F.round("bm25", 6))
+    parsed = query if isinstance(query, Query) else None
+    text = folded(" ".join(parsed.terms) if parsed else query).strip()
+    scored = list(dict.fromkeys([*parsed.terms, *(t for p in parsed.phrases for t in p), *(t for _, v in parsed.fields for t in query_terms(v))])) if parsed else query_terms(query)
+    terms = [*scored, *(t for t in (parsed.excluded if parsed else []) if t not in scored)]
+    empty = "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("rank")
+    if not scored or not index.segments:
+        return index.documents().select(*empty).limit(0) if index.segments else index.spark.createDataFrame([], "doc_id long, score double, matched int, rank int")
+    frequencies = index.frequencies(terms)
+    full = profile != "bm25"
+    columns = ("tf", "positions", "fields") if full or parsed else ("tf",)
+    if mode == "and" and len(terms) > len(scored):
+        found = candidates(index, terms, "or", columns, frequencies).where(reduce(Column.__and__, [F.col(f"tf{i}").isNotNull() for i in range(len(scored))]))
+    else:
+        found = candidates(index, terms, mode, columns, frequencies)
+    if parsed:
+        found = found.where(_wanted(index, terms, parsed))
+    n = len(scored)
+    matched = sum((F.when(F.col(f"tf{i}").isNotNull(), 1).otherwise(0) for i in range(n)), F.lit(0))
+    rows = found.withColumn("matched", matched).where("matched > 0").withColumn("bm25", bm25(index, scored, frequencies))
+    if not full:
+        rows = rows.select("doc_id", "matched", F.round("bm25", 6).alias("score"))
     else:
-        if len(terms) > 1:
-            rows = rows.where((F.col("matched") >= (len(terms) + 1) // 2) | F.col("strong"))
-        rows = rows.withColumn("score", F.round((F.col("bm25") + F.col("matched") / len(terms) + F.col("near") + F.col("bonus")) * F.col("signals") * F.col("factor"), 6))
-    best = rows.select("doc_id", "score", "matched").orderBy(F.col("score").desc(), F.col("matched").desc(), "doc_id").limit(k)
+        number = {f: i for i, f in enumerate(index.fields)}
+        at = {f: [number[f]] for f in number} | {"url": [number[f] for f in ("url", "canonical_url") if f in number]}
+        hits = {f: _hits(scored, ns) for f, ns in at.items() if ns}
+        strong = sum((hits.get(f, F.lit(0)) for f in ("title", "url", "domain")), F.lit(0)) > 0
+        rows = rows.select("doc_id", "matched", "bm25", ranking.proximity([F.col(f"positions{i}") for i in range(n)]).alias("near"), strong.alias("strong"), *[c.alias(f"in_{f}") for f, c in hits.items()])
+        if n > 1:
+            rows = rows.where((F.col("matched") >= (n + 1) // 2) | F.col("strong"))
+        d = rows.join(index.documents(), "doc_id")
+        title, url = F.col("title"), F.col("url")
+        bonus = 8 * ranking.title_bonus(text, title) + 4 * 3 * ranking.substring_share(scored, title) + 3 * 1.5 * ranking.substring_share(scored, url)
+        factor = ranking.adjustment(ranking.freshness(F.col("crawled"), now), F.col("quality"), F.col("trust"), F.col("spam"), F.col("duplicate"), F.col("active"))
+        factor = factor * ranking.field_multiplier(text, n, title, url, {f: F.col(f"in_{f}") for f in hits})
+        rows = d.select("doc_id", "matched", F.round((F.col("bm25") + F.col("matched") / n + F.col("near") + bonus) * factor, 6).alias("score"))
+    best = rows.orderBy(F.col("score").desc(), F.col("matched").desc(), "doc_id").limit(k)
     # k rows: they may be numbered in one task.
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("matched").desc(), "doc_id")))
+    return best.select("doc_id", "score", "matched").withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("matched").desc(), "doc_id")))

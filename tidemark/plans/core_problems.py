@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_host
 from tidemark.operators import eager_join, orphans
+from tidemark.session import materialize, scratch
 from tidemark.sources.tables import table
 from tidemark.streaming.changes import Feed, rebuild
 
@@ -39,7 +40,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per table and day."""
-    return orphans.report(orphans.orphans(*_references(spark, sf_dir)))
+    return orphans.counts(*_references(spark, sf_dir))
 
 
 def _urls_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +55,17 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that hold at least 2% of the urls with a host."""
-    return eager_join.dominant(_joined(spark, sf_dir), "host", "urls", 0.02).select("host")
+    """Hosts that hold at least 2% of the urls with a host: named among the joined states, which are written once."""
+    return eager_join.dominant(materialize(_joined(spark, sf_dir), "joined"), "host", "urls", 0.02).select("host")
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state, rebuilt over several micro-batches of whole files, and events that came in more than one of them."""
+    events = table(spark, sf_dir, "recovery_events")
+    parts = scratch(spark, "feed")
+    # Dealt without regard to order: changes to one item come late, early and again over the batches.
+    events.repartition(6, F.xxhash64("event_id", "created_at")).write.parquet(parts)
+    return rebuild(spark, parts, WORK_FEED, bytes_per_batch=1).select("work_id", "event_id", F.col("new_state").alias("state"))
 
 
 def p6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +78,7 @@ def p6_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(spark, sf_dir).groupBy("organization").agg(F.count("*").alias("hosts"), F.sum("urls").alias("urls"), F.sum("pairs").alias("pairs"), F.sum("attempts").alias("attempts"), F.sum("failures").alias("failures"), F.max("top_priority").alias("top_priority"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_states, p4_found, p4_report, p6_found, p6_hosts, p6_organizations)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_states, p3_batches, p4_found, p4_report, p6_found, p6_hosts, p6_organizations)}
 
 
 def host_sql(c: str) -> str:
@@ -100,6 +110,7 @@ _JOINED = f"""
 SQL = {
     "p3_found": f"select work_id, event_id from ({_PRESENT})",
     "p3_states": f"select state, count(*) as items, max(event_id) as newest_event from ({_PRESENT}) group by state",
+    "p3_batches": f"select work_id, event_id, state from ({_PRESENT})",
     "p4_found": f"select tbl, {_DAY} as period, id as record_id from ({_ORPHANS})",
     "p4_report": f"select tbl, {_DAY} as period, count(*) as orphans, count(distinct k) as orphan_keys from ({_ORPHANS}) group by 1, 2",
     "p6_found": f"select host from (select {host_sql('host')} as host, count(*) as n from urls group by 1) where host is not null and n >= 0.02 * (select count(*) from urls where {host_sql('host')} is not null)",

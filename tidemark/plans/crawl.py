@@ -190,7 +190,7 @@ def recrawl_intervals(spark, sf_dir):
     return u.select("row_id", F.round(nxt, 3).alias("next_interval"), frontier.aging_bonus(F.col("discovered_at"), NOW).alias("bonus"))
 
 
-@query()
+@query("""select source, list_reduce(list_prepend(0, list(case when state = 'crawled' then 1 else -1 end order by row_id)), lambda s, x: least(20, greatest(-20, s + x)))::int as score from urls where state in ('crawled', 'failed') and source is not null group by 1""")
 def source_feedback(spark, sf_dir):
     """Score of each source: +1 for a crawled url, -1 for a failed one, clamped after every step."""
     u = table(spark, sf_dir, "urls").where(F.col("state").isin("crawled", "failed") & F.col("source").isNotNull())
@@ -332,7 +332,7 @@ def spreading_activation(spark, sf_dir):
     return graph.spread(start, e).withColumn("strength", F.round("strength", 6))
 
 
-@query(f"""select subject, 'source' as predicate, count(distinct source) as values, min(source) as first, max(source) as last from (select {host_sql('hostname')} as subject, source from domain_candidates) where subject is not null and source is not null group by 1 having count(distinct source) > 1""")
+@query(f"""select subject, 'source' as predicate, count(distinct source) as values, list_sort(list(distinct source))[1] as first, list_sort(list(distinct source))[2] as second from (select {host_sql('hostname')} as subject, source from domain_candidates) where subject is not null and source is not null group by 1 having count(distinct source) > 1""")
 def conflict_detect(spark, sf_dir):
     c = table(spark, sf_dir, "domain_candidates").select(clean_host(F.col("hostname")).alias("subject"), F.lit("source").alias("predicate"), F.col("source").alias("value"), F.col("priority").alias("confidence"))
     return graph.conflicts(c.where("subject is not null"))
@@ -378,16 +378,8 @@ def latest_per_key(spark, sf_dir):
     return table(spark, sf_dir, "recovery_events").groupBy("work_id").agg(F.max("event_id").alias("last_event"), F.max_by("new_state", "event_id").alias("state"))
 
 
-@query("""with p as (select doc_id % 4 as segment_id, lower(trim(title)) as term, doc_id % 97 as doc_id, doc_id as tf from documents where title is not null)
-  select term, doc_id, arg_max(tf, segment_id * 1000000000 + tf) as tf from p group by 1, 2""")
-def segment_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("title is not null")
-    s = d.select((F.col("doc_id") % 4 * 1_000_000_000 + F.col("doc_id")).alias("segment_id"), F.lower(F.trim("title")).alias("term"), (F.col("doc_id") % 97).alias("doc_id"), F.col("doc_id").alias("tf"))
-    return index.merge_segments(s).select("term", "doc_id", "tf")
-
-
 @query(f"select term, doc_id, count(*) as tf from (select doc_id, unnest({tokens_sql('title')} || {tokens_sql('text')}) as term from documents) group by 1, 2")
-def posting_merge(spark, sf_dir):
+def segment_merge(spark, sf_dir):
     """Postings of all documents, merged from one segment a crawl day."""
     held = F.struct(F.unix_date(F.to_date("crawled_at")).alias("segment_id"), "doc_id").alias("held")
     d = spread(table(spark, sf_dir, "documents").select(held, "title", "text"))
@@ -395,7 +387,11 @@ def posting_merge(spark, sf_dir):
     return index.merge_segments(p.select("held.segment_id", "term", "held.doc_id", "tf")).select("term", "doc_id", "tf")
 
 
-@query("select level, count(*) as segments, sum(bytes)::bigint as bytes from (select logical_partition % 4 as level, attempts + 1 as bytes from discovery_work) group by 1 having count(*) >= case when level = 0 then 8 else 16 end")
+@query("""with s as (select strftime(crawled_at, '%Y-%m-%d') || '/' || source as segment_id, sum(coalesce(n_chars, 0))::bigint as bytes from documents where crawled_at is not null and source is not null group by 1),
+  l as (select *, floor(coalesce(ln(greatest(bytes, 1) / (select min(bytes) from s where bytes > 0)), 0) / ln(10) + 1e-9)::int as level from s), n as (select level, count(*) as n from l group by 1)
+  select level, segment_id, place from (select *, row_number() over (partition by level order by bytes, segment_id) as place from l) join n using (level) where place <= 32 and n >= case when level = 0 then 8 else 16 end""")
 def compaction_plan(spark, sf_dir):
-    s = table(spark, sf_dir, "discovery_work").select("work_id", (F.col("logical_partition") % 4).alias("level"), (F.col("attempts") + 1).cast("long").alias("bytes"))
+    """Segments to merge, of the segments that the documents of a site and day make."""
+    d = table(spark, sf_dir, "documents").where("crawled_at is not null and source is not null")
+    s = d.groupBy(F.concat(F.date_format("crawled_at", "yyyy-MM-dd"), F.lit("/"), F.col("source")).alias("segment_id")).agg(F.sum(F.coalesce("n_chars", F.lit(0)).cast("long")).alias("bytes"))
     return index.compaction_plan(s)

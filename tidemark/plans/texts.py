@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import query as Q
 from tidemark.functions import url as U
-from tidemark.functions.text import clean_host
-from tidemark.functions.udfs import highlight, nfkc_fold, url_normalize
+from tidemark.functions.text import clean_host, fold
+from tidemark.functions.udfs import highlight, url_normalize
 from tidemark.operators import index, present
 from tidemark.plans.core_problems import host_sql
-from tidemark.plans.search import FIELDS, QUERIES as SEARCH, SQL as SEARCH_SQL
+from tidemark.plans.search import FIELDS, QUERIES as SEARCH, SQL as SEARCH_SQL, fold_sql
 from tidemark.session import materialize, scratch
 from tidemark.sources.tables import spread, table
 from tidemark.streaming import flows
@@ -66,9 +66,9 @@ def url_normalized(spark, sf_dir):
     return table(spark, sf_dir, "urls").select(url_normalize("url").alias("normalized")).groupBy("normalized").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"select doc_id, {fold_sql('title')} as folded from documents")
 def folded_titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", nfkc_fold("title").alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", fold(F.col("title")).alias("folded"))
 
 
 _SENTENCES = r"(select doc_id, sentence from (select doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' '), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))) as sentence from documents where text is not null) where sentence <> '')"
@@ -92,15 +92,39 @@ def question_kinds(spark, sf_dir):
     return _sentences(spark, sf_dir).select(Q.question_kind(F.col("sentence")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(rf"""select predicate, subject, count(*) as n from (select case when regexp_matches(s, '(?i)^\s*.+?\s+(?:is|was)\s+located\s+in\s+.+?[.!?]\s*$') then 'located in' when regexp_matches(s, '(?i)^\s*.+?\s+is\s+part\s+of\s+.+?[.!?]\s*$') then 'part of'
-    when regexp_matches(s, '(?i)^\s*.+?\s+uses\s+.+?[.!?]\s*$') then 'uses' when regexp_matches(s, '(?i)^\s*.+?\s+contains\s+.+?[.!?]\s*$') then 'contains' when regexp_matches(s, '(?i)^\s*.+?\s+created\s+.+?[.!?]\s*$') then 'created'
-    when regexp_matches(s, '(?i)^\s*.+?\s+is\s+(?:an|a|the)\s+.+?[.!?]\s*$') then 'is' when regexp_matches(s, '(?i)^\s*.+?\s+are\s+.+?[.!?]\s*$') then 'are' end as predicate,
-  coalesce(nullif(regexp_extract(s, '(?i)^\s*(.+?)\s+(?:is|was)\s+located\s+in\s+.+?[.!?]\s*$', 1), ''), nullif(regexp_extract(s, '(?i)^\s*(.+?)\s+is\s+part\s+of\s+.+?[.!?]\s*$', 1), ''), nullif(regexp_extract(s, '(?i)^\s*(.+?)\s+uses\s+.+?[.!?]\s*$', 1), ''),
-    nullif(regexp_extract(s, '(?i)^\s*(.+?)\s+contains\s+.+?[.!?]\s*$', 1), ''), nullif(regexp_extract(s, '(?i)^\s*(.+?)\s+created\s+.+?[.!?]\s*$', 1), ''), nullif(regexp_extract(s, '(?i)^\s*(.+?)\s+is\s+(?:an|a|the)\s+.+?[.!?]\s*$', 1), ''), regexp_extract(s, '(?i)^\s*(.+?)\s+are\s+.+?[.!?]\s*$', 1)) as subject
-  from (select replace(replace(replace(sentence, chr(133), ' '), chr(8232), ' '), chr(8233), ' ') as s from {_SENTENCES})) where predicate is not null group by 1, 2""")
+def _phrase_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '^[ .,;:]+|[ .,;:]+$', '', 'g')"
+
+
+def _first_sql(rules, confidence: float, fits: str) -> str:
+    """The first rule that holds, as a struct."""
+    out = "null"
+    for predicate, verb in reversed(rules):
+        parts = [_phrase_sql(f"regexp_extract(s, '{present.stated(verb)}', {k})") for k in (1, 2)]
+        holds = " and ".join([f"regexp_matches(s, '{present.stated(verb)}')", *[fits.format(x) for x in parts]])
+        out = f"case when {holds} then struct_pack(subject := {parts[0]}, predicate := '{predicate}', value := {parts[1]}, confidence := {confidence}) else {out} end"
+    return out
+
+
+_SHORT = "length({0}) between 1 and 300 and len(string_split({0}, ' ')) <= 40"
+_FACTS = f"unnest([{_first_sql([('definition', v) for v in present.DEFINES], present.DEFINITION, _SHORT)}, {_first_sql(present.RELATES, present.RELATION, 'length({0}) >= 1')}])"
+
+
+@query(rf"""select f.predicate as predicate, f.subject as subject, f.value as value, count(*) as n, max(f.confidence)::double as confidence from (select {_FACTS} as f
+  from (select replace(replace(replace(sentence, chr(133), ' '), chr(8232), ' '), chr(8233), ' ') as s from {_SENTENCES})) where f is not null group by 1, 2, 3""")
 def fact_extract(spark, sf_dir):
-    f = _sentences(spark, sf_dir).select(present.facts(F.translate("sentence", "\x85  ", "   ")).alias("f")).where("f is not null")
-    return f.groupBy("f.predicate", "f.subject").agg(F.count("*").alias("n"))
+    """What sentences define and relate, both of a sentence that does both."""
+    f = _sentences(spark, sf_dir).select(F.explode(present.facts(F.translate("sentence", "\x85  ", "   "))).alias("f"))
+    return f.groupBy("f.predicate", "f.subject", "f.value").agg(F.count("*").alias("n"), F.max("f.confidence").alias("confidence"))
+
+
+@query(r"""select entity, count(*) as documents from (select doc_id, unnest(list_transform(list_filter(u, lambda x, i: not list_contains(list_transform(u[1:i - 1], lambda y: lower(y)), lower(x))), lambda x: x)) as entity from (select doc_id, list_filter(list_transform(string_split(
+  array_to_string(list_transform(list_filter(list_transform(string_split(trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g'), ' '), ' '), lambda w: regexp_replace(w, '^[.,!?;:()\[\]{}"'']+|[.,!?;:()\[\]{}"'']+$', '', 'g')), lambda w: w <> ''),
+  lambda w: case when regexp_matches(w, '^\p{Lu}') then w else chr(31) end), ' '), chr(31)), lambda r: trim(r, ' ')), lambda r: r <> '') as u from documents)) group by 1""")
+def entity_runs(spark, sf_dir):
+    """Runs of capitalised words in titles."""
+    e = table(spark, sf_dir, "documents").select(F.explode(present.entities(F.col("title"))).alias("entity"))
+    return e.groupBy("entity").agg(F.count("*").alias("documents"))
 
 
 _T = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ')"
@@ -122,12 +146,22 @@ def highlighted(spark, sf_dir):
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in present.STOP) + "]"
+#: The first page of results with title and snippet, as one text each.
+_PAGE = f"""page as (select r.rank, d.doc_id, d.url, d.title, coalesce(d.title, '') || ' ' || coalesce(s.snippet, '') as text from ({SEARCH_SQL["search_full"]}) r join documents d using (doc_id) join ({SQL["snippets"]}) s using (doc_id))"""
+
+
+def _page(spark, sf_dir):
+    """Results of the search, a page of rows, with title and snippet as one text."""
+    best = SEARCH["search_full"](spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", "url", "title", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce(present.snippet(F.col("text"), TERMS), F.lit(""))).alias("text"))
+    return best.join(d, "doc_id")
 
 
-@query(f"""with w as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+'), lambda x: length(x) > 2 and not list_contains({_STOP}, x)))) as name from documents)
-  select name, count(*) as sources, round(count(*) / (select count(*) from documents) + case when name in ('crawl', 'budget') then 0.5 else 0 end, 6) as relevance from w group by 1 order by 3 desc, 2 desc, 1 desc limit 12""")
+@query(f"""with {_PAGE}, w as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 and not list_contains({_STOP}, x)))) as name from page)
+  select name, count(*) as sources, round(count(*) / (select count(*) from page) + case when name in ('crawl', 'budget') then 0.5 else 0 end, 6) as relevance from w group by 1 order by 3 desc, 2 desc, 1 desc limit 12""")
 def concepts(spark, sf_dir):
-    return present.concepts(table(spark, sf_dir, "documents"), "title", TERMS)
+    """Concepts of the results of a search."""
+    return present.concepts(materialize(_page(spark, sf_dir), "page"), "text", TERMS)
 
 
 @query()
@@ -140,16 +174,29 @@ def related_results(spark, sf_dir):
     return present.related(page, top.doc_id if top else -1)
 
 
-@query("select doc_id, least(1, contains(lower(coalesce(title, '')), 'crawl')::int) + contains(lower(coalesce(title, '')), 'budget')::int as overlap from documents where contains(lower(coalesce(title, '')), 'crawl') or contains(lower(coalesce(title, '')), 'budget') order by 2 desc, 1 limit 5")
+@query(f"""with {_PAGE} select doc_id, contains(lower(text), 'crawl')::int + contains(lower(text), 'budget')::int as overlap from page order by 2 desc, (coalesce(url, '') <> '')::int desc, (coalesce(title, '') <> '')::int desc, doc_id limit 5""")
 def evidence(spark, sf_dir):
-    return present.evidence(table(spark, sf_dir, "documents"), "doc_id", "title", TERMS)
+    """The best evidence among the results of a search."""
+    return present.evidence(_page(spark, sf_dir), "doc_id", "text", TERMS, url="url", title="title")
+
+
+_EDGE = Q.EDGE.replace("'", "''")
 
 
-@query(r"""select kind, count(*) as n from (select case when regexp_matches(t, '(?i)^(?:https?://|www\.)\S+$') then 'URL' when regexp_matches(t, '^[^@\s]+@[^@\s]+\.[^@\s]+$') then 'EMAIL' when regexp_matches(t, '^[+-]?[0-9]+(?:[.,][0-9]+)*$') then 'NUMBER'
-  when regexp_matches(t, '^(?:AND|OR|NOT)$') then 'OPERATOR' when regexp_matches(t, '^[^\p{L}\p{N}]+$') then 'SYMBOL' else 'TERM' end as kind from (select unnest(string_split(title, ' ')) as t from documents where title is not null) where t <> '') group by 1""")
+@query(rf"""select kind, count(*) as n from (select case when regexp_matches(t, '(?i)^(?:https?://|www\.)\S+$') then 'URL' when regexp_matches(t, '^[^@\s]+@[^@\s]+\.[^@\s]+$') then 'EMAIL' when regexp_matches(t, '^\p{{Nd}}+$') then 'NUMBER'
+  when regexp_matches(t, '(?i)^(?:AND|OR|NOT)$') then 'OPERATOR' when regexp_matches(t, '[^\p{{L}}\p{{N}}]') then 'SYMBOL' else 'TERM' end as kind from (select regexp_replace(unnest(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')), '{_EDGE}', '', 'g') as t from documents where text is not null) where t <> '') group by 1""")
 def token_kinds(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where("title is not null").select(F.explode(F.split("title", " ")).alias("t")).where("t <> ''")
-    return t.select(Q.token_kind(F.col("t")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Kinds of all tokens of the texts."""
+    t = spread(table(spark, sf_dir, "documents").select("text")).where("text is not null").select(F.explode(F.split(F.regexp_replace("text", "[\\t\\n\\f\\r ]+", " "), " ")).alias("t"))
+    return t.select(Q.bare_token(F.col("t")).alias("t")).where("t <> ''").groupBy(Q.token_kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""select kind, value, count(*) as n from (select case when v like '"%"' and length(v) > 1 then 'PHRASE' when v = '(' then 'LPAREN' when v = ')' then 'RPAREN' when upper(v) in ('AND', 'OR', 'NOT') then upper(v) else 'TERM' end as kind, v as value
+  from (select unnest(regexp_extract_all(passage, '"[^"]*"|\(|\)|[^\s()]+')) as v from eval_items)) group by 1, 2""")
+def query_lexer(spark, sf_dir):
+    """Tokens of a lexer of queries, over the passages."""
+    v = table(spark, sf_dir, "eval_items").select(F.explode(Q.lexemes(F.col("passage"))).alias("v"))
+    return v.groupBy("v.kind", "v.value").agg(F.count("*").alias("n"))
 
 
 _SCRIPTS = ["Latin", "Cyrillic", "Greek", "Han", "Arabic", "Hebrew"]
@@ -163,39 +210,42 @@ def scripts(spark, sf_dir):
     return d.groupBy(F.lower(F.coalesce("lang", F.lit("und"))).alias("lang"), Q.script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
 
 
-_SYNONYMS = [("crawl", "fetch", 0.9), ("crawl", "spider", 0.7), ("crawl", "swim", 0.2), ("budget", "quota", 0.8), ("page", "document", 0.85)]
-_INTENTS = [("how", "explain", 1.0), ("why", "explain", 0.8), ("crawl", "operate", 0.6), ("budget", "operate", 0.5), ("page", "navigate", 0.4)]
-
-
-def _values(rows) -> str:
-    return "(values " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows) + ")"
-
-
 def _title_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("title is not null")
     return d.select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z]+"))).alias("term")).where("term <> ''")
 
 
-_TITLE_TERMS = "(select distinct doc_id as query_id, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) as term from documents where title is not null)"
+_TITLE_TERMS = "(select distinct query_id, term from (select doc_id as query_id, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) as term from documents where title is not null) where term <> '')"
+_LEARNED = f"""w as materialized (select distinct title as context, term from (select title, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) as term from documents where title is not null) where term <> ''),
+  n as (select term, count(*) as n from w group by 1), few as (select context from w group by 1 having count(*) between 2 and 8), p as (select a.term, b.term as synonym, count(*) as common from w a join few using (context) join w b on a.context = b.context and a.term <> b.term group by 1, 2 having count(*) >= 2),
+  syn as (select p.term, synonym, round(common / (n.n + m.n - common), 6) as confidence from p join n on p.term = n.term join n m on p.synonym = m.term where round(common / (n.n + m.n - common), 6) >= 0.45)"""
 
 
-@query(f"select query_id, t.term, synonym, confidence from {_TITLE_TERMS} t join {_values(_SYNONYMS)} v(term, synonym, confidence) on t.term = v.term where confidence >= 0.45")
+@query(f"""with {_LEARNED}, r as (select query_id, t.term, synonym, confidence, row_number() over (partition by query_id, t.term order by confidence desc, synonym) as n from {_TITLE_TERMS} t join syn on t.term = syn.term)
+  select query_id, term, synonym, confidence from (select *, row_number() over (partition by query_id order by confidence desc, synonym, term) as m from r where n <= 8) where m <= 128""")
 def synonym_expansion(spark, sf_dir):
-    s = spark.createDataFrame(_SYNONYMS, "term string, synonym string, confidence double")
-    return Q.expand(_title_terms(spark, sf_dir), F.broadcast(s))
+    """Terms of titles with those that stand in the same titles: a vocabulary learned from the corpus."""
+    sets = table(spark, sf_dir, "documents").where("title is not null").select(F.col("title").alias("context"), F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z]+"))).alias("term")).where("term <> ''")
+    return Q.expand(_title_terms(spark, sf_dir), Q.learned_synonyms(sets))
+
+
+_SECTION = "split_part(source, '.', 1)"
 
 
-@query(f"select query_id, intent, round(sum(weight), 6) as score, row_number() over (partition by query_id order by sum(weight) desc, intent desc) as rank from {_TITLE_TERMS} t join {_values(_INTENTS)} v(term, intent, weight) on t.term = v.term group by 1, 2")
+@query(f"""with v as (select term, intent, round(count(*) / sum(count(*)) over (partition by term), 6) as weight from {_TITLE_TERMS} t join (select doc_id as query_id, {_SECTION} as intent from documents where source is not null) using (query_id) group by 1, 2)
+  select * from (select query_id, intent, round(sum(weight), 6) as score, row_number() over (partition by query_id order by round(sum(weight), 6) desc, intent desc) as rank from {_TITLE_TERMS} t join v on t.term = v.term group by 1, 2) where rank <= 6""")
 def intent_scores(spark, sf_dir):
-    v = spark.createDataFrame(_INTENTS, "term string, intent string, weight double")
-    return Q.intents(_title_terms(spark, sf_dir), F.broadcast(v)).withColumn("score", F.round("score", 6))
+    """Intents of titles: kinds of sites, weighted by how often each term stands in titles of theirs."""
+    terms = _title_terms(spark, sf_dir)
+    kinds = table(spark, sf_dir, "documents").where("source is not null").select(F.col("doc_id").alias("query_id"), F.substring_index("source", ".", 1).alias("intent"))
+    return Q.intents(terms, Q.learned_intents(terms.join(kinds, "query_id")))
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_windows(spark, sf_dir):
     """Hourly counts of a stream of events, kept up to date batch by batch."""
     e = flows.stream_of(spark, sf_dir, "events")
-    e = flows.windowed(e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "ts", "1 hour", ["event_type"], "value", late="3650 days")
+    e = flows.windowed(e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "ts", "1 hour", ["event_type"], "value", late="1 day")
     return flows.upserts(e, ["start", "event_type"], "windows").withColumn("total", F.round("total", 4))
 
 
@@ -205,16 +255,18 @@ def sessions(spark, sf_dir):
     return flows.sessions(e, "ts", "30 minutes", ["user_id"])
 
 
-@query("select distinct user_id, event_type from events")
+@query("select event_id, user_id from events")
 def stream_dedup(spark, sf_dir):
-    e = flows.stream_of(spark, sf_dir, "events").select("user_id", "event_type")
-    return flows.append(flows.dedup(e, ["user_id", "event_type"]), "dedup")
+    """Events that are delivered twice, once each; a key is remembered for an hour of event time."""
+    e = flows.stream_of(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return flows.append(flows.dedup(e.unionByName(e), ["event_id"], "ts", "1 hour"), "dedup").select("event_id", "user_id")
 
 
 @query(SEARCH_SQL["posting_stats"])
 def stream_index(spark, sf_dir):
-    """Statistics of an index built by a stream, segment by segment."""
-    out = scratch(spark, "segments")
-    flows.index_segments(flows.stream_of(spark, sf_dir, "documents", maxFilesPerTrigger="4"), lambda b: index.postings(index.token_rows(b, FIELDS)), out, scratch(spark, "segments-state"))
-    p = index.merge_segments(spark.read.parquet(out))
+    """Statistics of an index built by a stream: each batch is a segment, and many segments are merged."""
+    path = scratch(spark, "index")
+    docs = flows.stream_of(spark, sf_dir, "documents", maxFilesPerTrigger="4")
+    flows.index_segments(docs, lambda b, n: index.maintain(index.add_segment(spark, path, spread(b), FIELDS, n)), scratch(spark, "index-state"))
+    p = index.Index.open(spark, path).postings()
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("positions"), F.round(F.avg("tf"), 6).alias("average"))

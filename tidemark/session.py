@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import types
 import uuid
+from pathlib import Path
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -29,19 +30,38 @@ def build(app: str = "tidemark", master: str | None = None, **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a local folder is made and set.
+    Where the setting is absent a local folder is made and set, but for local masters only (tests, one machine): on a
+    cluster every executor would write to a disk of its own, so there it's an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        named = Path(tempfile.mkdtemp(prefix="tidemark-shared-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        _marked.add(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return path
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +75,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, time of change) of a table's files, from one listing; empty where nothing is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions in force, for operators that fix their own partition number."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

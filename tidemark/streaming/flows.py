@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.streaming.changes import source
 
-__all__ = ["append", "dedup", "index_segments", "leases", "source", "upserts", "windowed"]
+__all__ = ["append", "dedup", "deliver", "fenced", "index_segments", "leases", "source", "upserts", "windowed"]
 
 
 def append(stream: DataFrame, name: str) -> DataFrame:
@@ -53,18 +53,44 @@ def sessions(events: DataFrame, time: str, gap: str, keys: Sequence[str], late:
     return out.select(*keys, F.col("session.start").alias("start"), "n")
 
 
-def dedup(stream: DataFrame, keys: Sequence[str], time: str | None = None, within: str | None = None) -> DataFrame:
-    """The first row of each key; with a time and span, state is kept for that span only."""
-    if time and within:
-        return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([*keys])
-    return stream.dropDuplicates([*keys])
+def dedup(stream: DataFrame, keys: Sequence[str], time: str, within: str) -> DataFrame:
+    """The first row of each key; a key is remembered for a span of event time, so that state has an end."""
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([*keys])
 
 
-def index_segments(documents: DataFrame, postings: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Indexes a stream of documents: each micro-batch becomes a segment of its own number."""
+def deliver(spark: SparkSession, path: str, handle: Callable[[DataFrame], DataFrame], attempts: int = 3, base: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream of messages (message_id, ...) of a parquet folder through ``handle``, which adds ``failed``.
+
+    Messages that fail come again, up to so many attempts with waits of base^n seconds between them (told, not slept);
+    then they are dead. Each batch replaces its own output. Tables: delivered (message_id, attempts, waited) and dead.
+    """
+    out = scratch(spark, "delivery")
+
+    def process(batch: DataFrame, number: int) -> None:
+        left = batch.withColumn("__attempt", F.lit(0))
+        for n in range(1, attempts + 1):
+            tried = materialize(handle(left.withColumn("__attempt", F.lit(n))), "attempt")
+            tried.where("not failed").select("message_id", F.col("__attempt").alias("attempts"), F.lit(sum(base**k for k in range(1, n))).alias("waited"), F.lit(False).alias("dead")).write.mode("overwrite").parquet(f"{out}/batch={number}/attempt={n}")
+            left = tried.where("failed").drop("failed")
+        left.select("message_id", F.lit(attempts).alias("attempts"), F.lit(sum(base**k for k in range(1, attempts))).alias("waited"), F.lit(True).alias("dead")).write.mode("overwrite").parquet(f"{out}/batch={number}/attempt={attempts + 1}")
+
+    messages = source(spark, path, spark.read.parquet(path).schema)
+    messages.writeStream.option("checkpointLocation", scratch(spark, "delivery-state")).foreachBatch(process).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("message_id long, attempts int, waited double, dead boolean, batch long, attempt int").parquet(out).drop("batch", "attempt")
+    return told.where("not dead").drop("dead"), told.where("dead").drop("dead")
+
+
+def fenced(writes: DataFrame, key: str, token: str, order: str) -> DataFrame:
+    """Adds ``accepted``: a write counts unless an earlier one of its key bore a higher token. Null tokens are refused."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return writes.withColumn("accepted", F.coalesce(F.col(token) >= F.max(token).over(before), F.lit(False)))
+
+
+def index_segments(documents: DataFrame, add: Callable[[DataFrame, int], object], checkpoint: str) -> None:
+    """Indexes a stream of documents: each micro-batch becomes a segment of its own number, in its place if it's run again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        postings(batch).write.mode("overwrite").parquet(f"{path}/segment_id={number}")
+        add(batch, number)
 
     query = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
