@@ -16,7 +16,7 @@ def expected(docs, items, n=13):
     return sorted({(d, i) for d, t, *_ in docs for g in [grams(words(t))] for i, p in parts if g & p})
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     r = random.Random(5)
     vocab = ["Straße", "l'été", "x1", "ДОМ", *"abcdefghij"]
     passages = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(5, 40)))) for i in range(25)]
@@ -30,9 +30,29 @@ def test_matches_brute_force(spark):
         docs.append((d, r.choice([" ", ", ", "\n"]).join(t).upper() if d % 2 else " ".join(t), "w", 1))
     docs += [(900, None, "", 1), (901, "", "", 1), (902, "   \n", "", 1), (903, "a " * 200_000 + passages[0][1], "", 1)]
     df, it = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(passages, "item_id long, passage string")
-    for block in (1_000_000, 200):
-        got = leakage.leaks(df.repartition(3), it, block_words=block)
+    got = leakage.leaks(df.repartition(3), it)
+    assert sorted((x.doc_id, x.item_id) for x in got.collect()) == expected(docs, passages)
+    # A full bitmap lets every window pass: the join tells.
+    monkeypatch.setattr(leakage, "LEAST_BITS", 7)
+    monkeypatch.setattr(leakage, "MOST_BITS", 7)
+    monkeypatch.setattr(leakage, "PIECE_BYTES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = leakage.leaks(df.repartition(3), it)
         assert sorted((x.doc_id, x.item_id) for x in got.collect()) == expected(docs, passages)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_pass_however_large_the_suite(spark, tmp_path):
+    """Repeated and many items: documents are scanned once, and no passage is in the plan."""
+    words = [f"w{k}" for k in range(40_000)]
+    items = [(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(2000)]
+    spark.createDataFrame([(1, "x " + items[7][1] + " y", "", 1), (2, "none", "", 1)], SCHEMA).write.parquet(str(tmp_path / "d"))
+    got = leakage.leaks(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items * 2, "item_id long, passage string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") and plan.count("Relation [doc_id") == 1 and "w39999" not in plan
+    assert [(r.doc_id, r.item_id, r.covered) for r in got.collect()] == [(1, 7, 20)]
 
 
 def test_reordered_parts_and_coverage(spark):
@@ -57,4 +77,7 @@ def test_empty_sides(spark):
     assert leakage.leaks(d.limit(0), i, shortest=2).collect() == []
     assert leakage.leaks(d, i.limit(0), shortest=2).collect() == []
     assert leakage.leaks(d, i).collect() == []
-    assert len(leakage.leaks(d.union(d), i.union(i), shortest=2).collect()) == 4
+    assert len(leakage.leaks(d.union(d), i.union(i), shortest=2).collect()) == 1
+    other = d.union(spark.createDataFrame([(1, "b c d", "", 1)], SCHEMA))
+    assert sorted(r.covered for r in leakage.leaks(other, i, shortest=2).collect()) == [2, 3]
+    assert leakage.leaks(d, i, shortest=2, least=4).collect() == []

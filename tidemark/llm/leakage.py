@@ -1,19 +1,18 @@
 """Test passages inside a training corpus: greedy string tiling over whole documents.
 
-Documents stream past the test passages; the corpus isn't shuffled at all. Each document's words are
-hashed in a window that rolls over the text (Karp-Rabin). Windows shared with a passage are seeds;
-seeds in a row are matches, and the longest matches that don't overlap are marked one after another
-as tiles. So the parts of a passage are found in whatever order they stand. Passages come in blocks of
-bounded size, one pass over the corpus a block.
+Words are hashed in a window that rolls over each text (Karp-Rabin). The windows of the passages are a
+table of seeds; a bitmap of their hashes, of bounded size whatever the suite, tells which windows of the
+corpus may be seeds, so that only those leave the one pass over the documents. They join the seeds on
+hash and words. Seeds in a row are matches, and the longest matches that don't overlap are marked one
+after another as tiles: the parts of a passage are found in whatever order they stand.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import sys
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import words_text
-from tidemark.session import ship
+from tidemark.session import materialize, parallelism, ship
 
 ship(sys.modules[__name__])
 
-#: Words of passages held by a task at once, and bytes of documents.
-BLOCK_WORDS, PIECE_BYTES = 1_000_000, 8 << 20
+#: Bytes of texts handled at once by a task.
+PIECE_BYTES = 8 << 20
+#: Bits of the bitmap as powers of two, at least and at most (32 MB); about so many bits a seed.
+LEAST_BITS, MOST_BITS, BITS_A_SEED = 16, 28, 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-TILES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("tiles", pa.int32()), ("longest", pa.int32()), ("covered", pa.int32()), ("words", pa.int32())])
+WINDOWS = "id long, version long, place int, size int, hash long, words string"
+FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("tiles", pa.int32()), ("longest", pa.int32()), ("covered", pa.int32()), ("words", pa.int32())])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -103,92 +105,125 @@ def _matches(i: np.ndarray, j: np.ndarray, m: int) -> list[tuple[int, int, int]]
     return [(int(i[s]), int(j[s]), int(e - s + m - 1)) for s, e in zip(starts, ends, strict=True)]
 
 
-class Passages:
-    """A block of passages, their words and the seeds by hash."""
-
-    def __init__(self, ids: list[int], texts: list[str], m: int):
-        self.ids, self.m = np.array(ids, np.int64), m
-        self.w, self.offsets, words = _words(pa.array(texts, pa.string()))
-        self.words = words.to_pylist()
-        at, h = _windows(self.w, self.offsets, m)
-        order = np.argsort(h, kind="stable")
-        self.at, self.h = at[order], h[order]
-        self.item = np.searchsorted(self.offsets, self.at, "right") - 1
-        # A bit for each hash prefix lets most windows pass at once.
-        self.mask = np.zeros(1 << 20, bool)
-        self.mask[(self.h >> np.uint64(44)).astype(np.int64)] = True
-
-    def seeds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (number in h, number in the seeds) with the same hash."""
-        some = np.flatnonzero(self.mask[(h >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.h, h[some], "left"), np.searchsorted(self.h, h[some], "right")
-        n = hi - lo
-        first = np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(some, n), np.repeat(lo, n) + np.arange(len(first)) - first
-
-
-def _search(p: Passages, coverage: float):
-    m = p.m
-
-    def piece(ids: np.ndarray, texts: pa.Array) -> list[tuple]:
-        w, offsets, words = _words(texts)
-        at, h = _windows(w, offsets, m)
-        hit, seed = p.seeds(h)
-        if not len(hit):
-            return []
-        i, j = at[hit], p.at[seed]
-        doc, item = np.searchsorted(offsets, i, "right") - 1, p.item[seed]
-        order = np.lexsort((i, item, doc))
-        i, j, doc, item = i[order], j[order], doc[order], item[order]
-        cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Ids, versions and texts, some megabytes at a time."""
+    for b in batches:
+        ids, versions, texts = b.column("id").to_numpy(), b.column("version").to_numpy(), b.column("words")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE_BYTES, "right")))
+            yield ids[lo:hi], versions[lo:hi], texts.slice(lo, hi - lo)
+            lo = hi
+
+
+def _cut(m: int, bitmap=None, bits: int = 0):
+    """Windows of m words with their hashes and words; only those whose hash is in the bitmap (a broadcast), if there is one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if bitmap is None else bitmap.value
+        for ids, versions, texts in _pieces(batches):
+            w, offsets, words = _words(texts)
+            at, h = _windows(w, offsets, m)
+            if held is not None:
+                b = h >> np.uint64(64 - bits)
+                some = ((held[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
+                at, h = at[some], h[some]
+            if not len(at):
+                continue
+            of = np.searchsorted(offsets, at, "right") - 1
+            # The words of each window: a list of m places a window, put together.
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * m), words.take(pa.array((at[:, None] + np.arange(m)).ravel())))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[of]), pa.array(versions[of]), pa.array((at - offsets[of]).astype(np.int32)), pa.array((offsets[of + 1] - offsets[of]).astype(np.int32)), pa.array(h.view(np.int64)), pc.binary_join(lists, " ")],
+                names=["id", "version", "place", "size", "hash", "words"],
+            )
+
+    return cut
+
+
+def _texts(rows: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, version, words) of texts with words: the version tells texts under one id apart; repeated rows count once."""
+    words = rows.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), words_text(F.col(text)).alias("words"))
+    return words.select("id", F.xxhash64("words").alias("version"), "words")
+
+
+def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """One bit for each hash prefix of the seeds. Words of 64 bits are put together by the cluster; the driver gets at most 2^22 of them."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n) * BITS_A_SEED))))
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    made = seeds.select(F.shiftrightunsigned(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63L as int))").alias("bit"))
+    made = made.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(1 << (bits - 6), np.uint64)
+    held[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+    return held, bits
+
+
+def _tile(m: int, coverage: float, least: int):
+    """Tilings of sorted seeds (doc, dver, item, iver, i, j, size); a pair's seeds stand in a row, over batches too."""
+    names = ["doc", "dver", "item", "iver", "i", "j", "size"]
+
+    def tilings(c: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch | None:
         out = []
-        for s, e in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(i)])), strict=True):
-            size = int(p.offsets[item[s] + 1] - p.offsets[item[s]])
-            places = np.unique(j[s:e])
-            within = int(np.minimum(np.diff(places, append=places[-1] + m), m).sum())  # no tiling covers more
-            if within < coverage * size:
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            i, j, size = c[4][s:e], c[5][s:e], int(c[6][s])
+            enough = max(least, coverage * size)
+            places = np.unique(j)
+            if int(np.minimum(np.diff(places, append=places[-1] + m), m).sum()) < enough:  # no tiling covers more
                 continue
-            found = tile([x for x in _matches(i[s:e], j[s:e], m) if words[x[0] : x[0] + x[2]].to_pylist() == p.words[x[1] : x[1] + x[2]]], m)
+            found = tile(_matches(i, j, m), m)
             covered = sum(n for _, _, n in found)
-            if found and covered >= coverage * size:
-                out.append((int(ids[doc[s]]), int(p.ids[item[s]]), len(found), max(n for _, _, n in found), covered, size))
-        return out
+            if found and covered >= enough:
+                out.append((int(c[0][s]), int(c[2][s]), len(found), max(n for _, _, n in found), covered, size))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), FOUND.types, strict=True)], schema=FOUND) if out else None
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            ids, texts = b.column("doc_id").to_numpy(), b.column("words")
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < len(ids):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PIECE_BYTES, "right")))
-                out = piece(ids[lo:hi], texts.slice(lo, hi - lo))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TILES.types, strict=True)], schema=TILES)
-                lo = hi
+            if not b.num_rows:
+                continue
+            c = [b.column(n).to_numpy() for n in names]
+            new = np.zeros(b.num_rows, bool)
+            for x in c[:4]:
+                new[1:] |= x[1:] != x[:-1]
+            new[0] = not held or any(x[0] != h[-1] for x, h in zip(c[:4], held[-1][:4], strict=True))
+            starts = np.flatnonzero(new)
+            if len(starts):
+                if held and starts[0] >= 0:
+                    held.append([x[: starts[0]] for x in c])
+                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    if (out := tilings(whole, np.array([0, len(whole[0])]))) is not None:
+                        yield out
+                if len(starts) > 1 and (out := tilings(c, starts)) is not None:
+                    yield out
+                held = [[x[starts[-1] :] for x in c]]
+            else:
+                held.append(c)
+        if held:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if (out := tilings(whole, np.array([0, len(whole[0])]))) is not None:
+                yield out
 
-    return search
+    return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, shortest: int = 13, coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, shortest: int = 13, coverage: float = 0.0, least: int = 1) -> DataFrame:
     """Tilings of passages by documents: (doc_id, item_id, tiles, longest, covered, words).
 
-    documents: doc_id, text; items: item_id, passage. Tiles have at least ``shortest`` words and cover at least the share
-    ``coverage`` of a passage's ``words``. Null and empty texts, null ids and passages of fewer words hold no tile.
-    Repeated documents come out each time; repeated items too. No rows in: no rows out. A word is a longest run of
-    letters and digits, in lower case.
+    documents: doc_id, text; items: item_id, passage. Tiles have at least ``shortest`` words; those of a pair cover at
+    least the share ``coverage`` of a passage's ``words`` and at least ``least`` words of it. Null and empty texts, null
+    ids and passages of fewer words hold no tile. Repeated rows count once; different texts under one id come out one by
+    one. No rows in: no rows out. A word is a longest run of letters and digits, in lower case.
     """
-    passages = items.where(F.col("passage").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), words_text(F.col("passage")).alias("passage"))
-    size = F.size(F.split("passage", " "))
-    passages = passages.withColumn("n", size).where(F.col("n") >= shortest)
-    total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    texts = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words_text(F.col("text")).alias("words"))
-    schema = "doc_id long, item_id long, tiles int, longest int, covered int, words int"
-    blocks = max(1, -(-total // block_words))
-    found = []
-    for k in range(blocks):
-        some = defaultdict(list)
-        for r in passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k).orderBy("item_id", "passage").collect():  # about block_words words
-            some["ids"].append(r.item_id)
-            some["texts"].append(r.passage)
-        found.append(texts.mapInArrow(_search(Passages(some["ids"], some["texts"], shortest), coverage), schema))
-    return reduce(DataFrame.unionByName, found)
+    spark, m = documents.sparkSession, shortest
+    seeds = materialize(_texts(items, "item_id", "passage").distinct().mapInArrow(_cut(m), WINDOWS), "seeds")
+    held, bits = _bitmap(seeds)
+    # 32 MB at most, however large the suite; what passes by chance finds no seed.
+    hits = _texts(documents, "doc_id", "text").mapInArrow(_cut(m, spark.sparkContext.broadcast(held), bits), WINDOWS)
+    i = hits.select(F.col("id").alias("doc"), F.col("version").alias("dver"), F.col("place").alias("i"), "hash", "words")
+    j = seeds.select(F.col("id").alias("item"), F.col("version").alias("iver"), F.col("place").alias("j"), "size", "hash", "words")
+    pairs = i.join(j.hint("merge"), ["hash", "words"]).select("doc", "dver", "item", "iver", "i", "j", "size").repartition(parallelism(spark), "doc", "dver", "item", "iver")
+    # A text that stands twice under one id gives each seed twice.
+    rows = pairs.dropDuplicates().sortWithinPartitions("doc", "dver", "item", "iver", "i", "j")
+    return rows.mapInArrow(_tile(m, coverage, least), "doc_id long, item_id long, tiles int, longest int, covered int, words int")

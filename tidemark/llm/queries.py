@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import clean_host, day_of
+from tidemark.functions.text import clean_host, day_of, words_text
 from tidemark.llm import capping, encoding, formatting, leakage, packing, seen, sketches
 from tidemark.plans.core_problems import host_sql
 from tidemark.sources.tables import spread, table
@@ -105,8 +105,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold 13 words in a row of a passage: a tile of 13 words or more."""
-    return leakage.leaks(_documents(spark, sf_dir), _items(spark, sf_dir), shortest=13).select("doc_id", "item_id")
+    """Documents that hold 13 words in a row of a passage: tiles of 13 words or more that cover at least 13 of its words."""
+    return leakage.leaks(_documents(spark, sf_dir), _items(spark, sf_dir), shortest=13, least=13).select("doc_id", "item_id")
 
 
 def p9_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,18 @@ def p9_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_documents(spark, sf_dir), _items(spark, sf_dir), shortest=5, coverage=0.8)
 
 
+def p9_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 30 words or more, cut in three and put in another order between words of its own documents: which
+    are found, and how much of each is covered."""
+    items = _items(spark, sf_dir).select("item_id", F.split(words_text(F.col("passage")), " ").alias("w")).where(F.size("w") >= 30)
+    third = F.floor(F.size("w") / 3).cast("int")
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    mixed = F.concat(F.lit("alien "), part(2 * third + 1, F.size("w") - 2 * third), F.lit(" foreign "), part(F.lit(1), third), F.lit(" strange "), part(third + 1, third))
+    planted = items.select(F.col("item_id").alias("doc_id"), mixed.alias("text"))
+    found = leakage.leaks(planted, _items(spark, sf_dir), shortest=5, coverage=0.8).where("doc_id = item_id")
+    return found.select("item_id", "words", (F.col("covered") == F.col("words")).alias("whole"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that were garbled in whole or in part."""
     return encoding.garbled_documents(_documents(spark, sf_dir))
@@ -124,7 +136,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p2_found, p2_groups, p5_found, p5_error_rate, p7_found, p7_sampled, p8_pack, p8_containers, p9_found, p9_reordered, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p2_found, p2_groups, p5_found, p5_error_rate, p7_found, p7_sampled, p8_pack, p8_containers, p9_found, p9_reordered, p9_planted, p10_found, p10_restored)}
 
 
 def _words_sql(c: str) -> str:
@@ -158,6 +170,7 @@ SQL = {
         select strftime(make_timestamp((discovered_at * 1000000)::bigint), '%Y-%m-%d') as day, lower(trim(source)) as source, {host_sql("hostname")} as h from discovery_records) where h is not null
         group by grouping sets ((), (day), (source), (day, source)))
     """,
+    "p9_planted": f"select item_id, len(w)::int as words, true as whole from (select item_id, string_split({_words_sql('passage')}, ' ') as w from eval_items) where len(w) >= 30",
     "p9_found": f"""
       with d as (select doc_id, string_split({_words_sql("text")}, ' ') as w from documents where text is not null),
         i as (select item_id, string_split({_words_sql("passage")}, ' ') as w from eval_items),
