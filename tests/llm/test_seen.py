@@ -54,3 +54,34 @@ def test_chain_keeps_its_bound():
     assert len(chain.layers) > 4
     assert chain.bound() <= 0.02 and wrong / len(keys) < 1.2 * chain.bound()
     assert all(chain.seen(b).all() for b in np.array_split(keys, 20))
+
+
+def test_chains_go_on_where_they_ended(spark, tmp_path):
+    """Two halves in two runs, the chains stored in between, say what one run says; earlier arrivals aren't read again."""
+    r = random.Random(8)
+    rows = [(r.choice("ab"), i, "hot" if r.random() < 0.3 else f"k{r.randrange(1500)}") for i in range(3000)]
+    ask = lambda part, **o: seen.verdicts(arrivals(spark, part), capacity=64, error=1e-6, shards=3, **o)
+    one = ask(rows)
+    first = ask(rows[:1500], keep=True)
+    seen.layers(first).write.parquet(str(tmp_path / "store"))
+    second = ask(rows[1500:], before=spark.read.parquet(str(tmp_path / "store")))
+    said = lambda v: {(x.tbl, x.id) for x in v.where("kind = 'seen'").collect()}
+    assert said(first) | said(second) == said(one) == set(expected(rows))
+    # Other histories merge: what either held is seen.
+    a, b = ask(rows[:700], keep=True), ask(rows[700:1500], keep=True)
+    both = ask(rows[1500:], before=seen.merged(seen.layers(a), seen.layers(b)))
+    assert said(both) == said(second)
+    held = lambda v: v.where("kind = 'chain'").agg({"bound": "max"}).first()[0]
+    assert max(held(a), held(b)) < held(both) < 1e-4
+    nothing = ask([], before=seen.layers(first))
+    assert said(nothing) == set() and seen.layers(nothing).count() == seen.layers(first).count()
+
+
+def test_a_share_is_audited(spark):
+    rows = [("a", i, f"k{i}") for i in range(4000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        whole, part = (seen.error_report(arrivals(spark, rows), share=x, capacity=16, error=0.3, shards=2).first() for x in (1.0, 0.5))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole.wrong > 500 and abs(part.wrong - whole.wrong) < 0.25 * whole.wrong

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean_host, day_of, words_text
 from tidemark.llm import capping, encoding, formatting, leakage, packing, seen, sketches
 from tidemark.plans.core_problems import host_sql
+from tidemark.session import materialize
 from tidemark.sources.tables import spread, table
 
 
@@ -68,6 +69,22 @@ def p5_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.error_report(_arrivals(spark, sf_dir))
 
 
+def p5_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chains counted, with their wrong answers put right, and whether their rate keeps the bound."""
+    r = seen.error_report(_arrivals(spark, sf_dir))
+    return r.select("tbl", "arrivals", (F.col("kept_keys") + F.col("wrong")).alias("keys"), (F.col("said_seen") - F.col("wrong")).alias("repeats"), (F.col("wrong_rate") <= F.col("bound")).alias("within"))
+
+
+def p5_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of the second half whose key came before: the first half's chains are stored and loaded again."""
+    rows = _arrivals(spark, sf_dir)
+    half = F.col("id") <= rows.agg(F.max("id")).first()[0] // 2
+    kept = materialize(seen.layers(seen.verdicts(rows.where(half), keep=True)), "chains")
+    said = seen.verdicts(rows.where(~half), before=kept).where("kind = 'seen'").select("tbl", "id", "h")
+    # Checked exactly against all keys under suspicion.
+    return said.select("tbl", "id").join(seen.wrong(rows, said.withColumn("kind", F.lit("seen"))).hint("merge"), ["tbl", "id"], "left_anti").select("tbl", F.col("id").alias("record_id"))
+
+
 def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "urls").select(clean_host(F.col("host")).alias("host"), "priority", "row_id")
 
@@ -136,7 +153,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p2_found, p2_groups, p5_found, p5_error_rate, p7_found, p7_sampled, p8_pack, p8_containers, p9_found, p9_reordered, p9_planted, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p2_found, p2_groups, p5_found, p5_error_rate, p5_audit, p5_in_two_runs, p7_found, p7_sampled, p8_pack, p8_containers, p9_found, p9_reordered, p9_planted, p10_found, p10_restored)}
 
 
 def _words_sql(c: str) -> str:
@@ -160,6 +177,8 @@ SQL = {
     "p2_found": f"select tbl, kept_id, id as copy_id from (select tbl, id, min(id) over (partition by tbl, k) as kept_id from ({_KEYED})) where id > kept_id",
     "p2_groups": f"select tbl, min(id) as kept_id, count(*) as copies from ({_KEYED}) group by tbl, k",
     "p5_found": f"select tbl, id as record_id from (select tbl, id, min(id) over (partition by tbl, k) as first from ({_ARRIVED}) where k is not null) where id > first",
+    "p5_audit": f"select tbl, count(*) as arrivals, count(distinct k) as keys, count(*) - count(distinct k) as repeats, true as within from ({_ARRIVED}) where k is not null group by 1",
+    "p5_in_two_runs": f"with a as ({_ARRIVED}) select tbl, id as record_id from (select tbl, id, min(id) over (partition by tbl, k) as first from a where k is not null) where id > first and id > (select max(id) // 2 from a)",
     "p7_found": f"""
       select host, row_id from (select host, row_id, count(*) over (partition by host) as n, row_number() over (partition by host order by priority desc nulls last, row_id) as r
         from (select {host_sql("host")} as host, priority, row_id from urls) where host is not null) where n > 40 and r <= 40
