@@ -56,6 +56,17 @@ def test_cube_with_nulls_and_skew(spark):
 def test_stored_sketches_merge_with_later_ones(spark):
     rows = spark.range(4000).select(F.lit("g").alias("day"), F.col("id").cast("string").alias("host"))
     a, b = (sketches.sketches(rows.where(c), ["day"], "host", 128) for c in ("id < 2500", "id >= 1500")) if "id" in rows.columns else (sketches.sketches(rows.where(F.col("host").cast("long") < 2500), ["day"], "host", 128), sketches.sketches(rows.where(F.col("host").cast("long") >= 1500), ["day"], "host", 128))
-    both = sketches.merged(a.unionByName(b)).collect()
-    whole = sketches.merged(sketches.sketches(rows, ["day"], "host", 128)).collect()
+    both = sketches.merged(a.unionByName(b), 128).collect()
+    whole = sketches.merged(sketches.sketches(rows, ["day"], "host", 128), 128).collect()
     assert len(both) == 1 and both == whole
+
+
+def test_few_identifiers_stay_hashes(spark):
+    """Small groups cost 8 bytes an identifier, and give the same registers in the end."""
+    rows = spark.range(3000).select(F.concat(F.lit("d"), F.col("id") % 300).alias("day"), F.col("id").cast("string").alias("host"))
+    parts = sketches.sketches(rows.repartition(3), ["day"], "host").collect()
+    assert max(len(r.registers) for r in parts) <= 80
+    one = np.frombuffer(sketches.merged(sketches.sketches(rows, ["day"], "host")).where("grp = '=d7'").first().registers, "<u8")
+    dense, some = sketches._dense([one, one[:4]], 1024)
+    assert (sketches._union([some, one[4:]], 1024) == dense).all() and len(one) == 10
+    assert (sketches._union([one[:4], one[2:]], 1024) == one).all()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import running_sum
+
 
 def random_key(quality: Column, unit: Column, temperature: float) -> Column:
     """Sort key of a record. unit: uniform in (0, 1), fixed for the record. Temperature 0: quality itself.
@@ -46,7 +48,15 @@ def reservoir(records: DataFrame, contributor: str, quality: str, record_id: str
     return kept.drop(key, rank)
 
 
-def share_cap(records: DataFrame, contributor: str, quality: str, record_id: str, share: float, **options) -> DataFrame:
-    """Caps each contributor at a share of all records that have one (at least one record each)."""
-    total = records.where(F.col(contributor).isNotNull()).count()
-    return reservoir(records, contributor, quality, record_id, max(1, int(total * share)), **options)
+def share_cap(records: DataFrame, contributor: str, quality: str, record_id: str, share: float, *, temperature: float = 0.0, seed: int = 7) -> DataFrame:
+    """Caps each contributor at a share of all records that have one (at least one record each), as ``reservoir`` does.
+
+    Such a cap grows with the data, so records are numbered by ranges of (contributor, key) over the whole cluster: a
+    contributor with a third of all rows, or a cap of many millions, fills as many ranges as it needs.
+    """
+    known = records.where(F.col(contributor).isNotNull())
+    cap = max(1, int(known.count() * share))
+    key, rank = "__reservoir_key", "__reservoir_rank"
+    keyed = known.withColumn(key, random_key(F.col(quality), unit_of(seed, F.col(record_id)), temperature)).withColumn("__one", F.lit(1))
+    kept = running_sum(keyed, [contributor], [F.col(key).desc_nulls_last(), F.col(record_id).asc()], "__one", rank).where(F.col(rank) <= cap)
+    return kept.drop(key, rank, "__one")

@@ -23,26 +23,26 @@ ship(sys.modules[__name__])
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before byte pairs are merged (the pattern published with this vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_loaded: dict[str, object] = {}
+_loaded: dict[int, object] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer stored at a path, loaded once a process."""
-    if path not in _loaded:
+def tokenizer(raw: bytes):
+    """The tokenizer of a stored vocabulary, made once a process."""
+    if (name := hash(raw)) not in _loaded:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _loaded[path] = tiktoken.Encoding("stored", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+        _loaded[name] = tiktoken.Encoding("stored", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[name]
 
 
-def _count(path: str):
+def _count(vocabulary):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
         for b in batches:
-            encode = tokenizer(path).encode_ordinary
+            encode = encode or tokenizer(vocabulary.value).encode_ordinary
             n = [len(encode(x)) if x else 0 for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
@@ -50,8 +50,11 @@ def _count(path: str):
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; null and empty texts have 0."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(path), "doc_id long, n_tokens long")
+    """(doc_id, n_tokens) of whole texts; null and empty texts have 0. The vocabulary (about a megabyte) is read where the
+    job is made and travels with it: executors needn't have it."""
+    with open(path, "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(vocabulary), "doc_id long, n_tokens long")
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1e-4) -> np.ndarray:

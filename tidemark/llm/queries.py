@@ -22,8 +22,8 @@ def p1_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.distinct_cube(_discoveries(spark, sf_dir), ["day", "source"], "hostname")
 
 
-def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact counts beside the estimates: whether each estimate lies within six standard errors."""
+def _beside_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates with their exact counts, ``hosts``."""
     rows = _discoveries(spark, sf_dir).where(F.col("hostname").isNotNull()).distinct()
     # Each level counts pairs that are distinct by then; no level counts within one task.
     levels = {"": [], "day": ["day"], "source": ["source"], "day,source": ["day", "source"]}
@@ -31,10 +31,20 @@ def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, dims in levels.items():
         one = rows.select(*dims, "hostname").distinct().groupBy(*dims).agg(F.count("*").alias("hosts")).select(F.lit(name).alias("grouped"), *[F.col(d) if d in dims else F.lit(None).cast("string").alias(d) for d in ("day", "source")], "hosts")
         exact = one if exact is None else exact.unionByName(one)
-    made = sketches.distinct_cube(_discoveries(spark, sf_dir), ["day", "source"], "hostname")
-    e, x = made.alias("e"), exact.where(F.col("hosts") > 0).alias("x")
+    e, x = sketches.distinct_cube(_discoveries(spark, sf_dir), ["day", "source"], "hostname").alias("e"), exact.where(F.col("hosts") > 0).alias("x")
     both = e.join(x, (F.col("e.grouped") == F.col("x.grouped")) & F.col("e.day").eqNullSafe(F.col("x.day")) & F.col("e.source").eqNullSafe(F.col("x.source")))
-    return both.select("x.grouped", "x.day", "x.source", "hosts", (F.abs(F.col("estimate") - F.col("hosts")) <= 6 * F.col("rel_error") * F.col("hosts")).alias("within"))
+    return both.select("x.grouped", "x.day", "x.source", "hosts", "estimate", "lo", "hi", "rel_error")
+
+
+def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts beside the estimates: whether each estimate lies within six standard errors."""
+    return _beside_exact(spark, sf_dir).select("grouped", "day", "source", "hosts", (F.abs(F.col("estimate") - F.col("hosts")) <= 6 * F.col("rel_error") * F.col("hosts")).alias("within"))
+
+
+def p1_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups there are, and whether nine tenths of their 95% intervals, at least, hold the exact count."""
+    holds = F.col("hosts").between(F.col("lo"), F.col("hi"))
+    return _beside_exact(spark, sf_dir).agg(F.count("*").alias("groups"), (F.count_if(holds) >= 0.9 * F.count("*")).alias("hold"))
 
 
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +109,18 @@ def p7_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.reservoir(_frontier(spark, sf_dir), "host", "priority", "row_id", 40, temperature=10.0).select("host", "row_id")
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each host and how many of them were drawn, and whether each drawn one is a row of its own."""
+    n = _frontier(spark, sf_dir).where("host is not null").groupBy("host").agg(F.count("*").alias("rows"))
+    drawn = p7_sampled(spark, sf_dir).groupBy("host").agg(F.count("*").alias("kept"), (F.count("*") == F.count_distinct("row_id")).alias("once"))
+    return n.join(drawn, "host", "left").select("host", "rows", F.coalesce("kept", F.lit(0)).alias("kept"), "once")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows of each host up to half a percent of all rows."""
+    return capping.share_cap(_frontier(spark, sf_dir), "host", "priority", "row_id", 0.005).select("host", "row_id")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -117,6 +139,18 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(p8_pack(spark, sf_dir), CAPACITY)
 
 
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: texts that come out, containers over capacity, texts split without need, texts with tokens
+    lost or doubled, and whether no more containers were opened than one a shard and one percent above the least."""
+    sizes = materialize(packing.token_counts(_documents(spark, sf_dir)), "tokens")
+    placed = materialize(packing.pack(sizes, CAPACITY), "placed")
+    texts = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("out"), F.count("*").alias("pieces"), F.count_distinct("from_token").alias("starts")).join(sizes, "doc_id", "full")
+    counts = texts.agg(F.count("out").alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("wrongly_split"), F.count_if(~F.col("out").eqNullSafe(F.col("n_tokens")) | (F.col("starts") < F.col("pieces"))).alias("lost"), F.sum("n_tokens").alias("__all"))
+    full = packing.containers(placed, CAPACITY).agg(F.count_if(F.col("unused") < 0).alias("overfull"), F.count("*").alias("__containers"), F.count_distinct("shard").alias("__shards"))
+    tight = F.col("__containers") <= F.ceil(F.col("__all") / CAPACITY * 1.01) + F.col("__shards")
+    return counts.crossJoin(full).select("texts", "overfull", "wrongly_split", "lost", tight.alias("tight"))  # one row each
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("item_id", "passage")
 
@@ -153,7 +187,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p2_found, p2_groups, p5_found, p5_error_rate, p5_audit, p5_in_two_runs, p7_found, p7_sampled, p8_pack, p8_containers, p9_found, p9_reordered, p9_planted, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p1_intervals, p2_found, p2_groups, p5_found, p5_error_rate, p5_audit, p5_in_two_runs, p7_found, p7_sampled, p7_audit, p7_shares, p8_pack, p8_containers, p8_audit, p9_found, p9_reordered, p9_planted, p10_found, p10_restored)}
 
 
 def _words_sql(c: str) -> str:
@@ -183,6 +217,17 @@ SQL = {
       select host, row_id from (select host, row_id, count(*) over (partition by host) as n, row_number() over (partition by host order by priority desc nulls last, row_id) as r
         from (select {host_sql("host")} as host, priority, row_id from urls) where host is not null) where n > 40 and r <= 40
     """,
+    "p1_intervals": f"""
+      select count(*) as groups, true as hold from (select day, source, grouping(day, source) as g from (
+        select strftime(make_timestamp((discovered_at * 1000000)::bigint), '%Y-%m-%d') as day, lower(trim(source)) as source, {host_sql("hostname")} as h from discovery_records) where h is not null
+        group by grouping sets ((), (day), (source), (day, source)))
+    """,
+    "p7_audit": f"select host, count(*) as rows, least(count(*), 40) as kept, true as once from (select {host_sql('host')} as host from urls) where host is not null group by 1",
+    "p7_shares": f"""
+      with u as (select {host_sql("host")} as host, priority, row_id from urls), k as (select * from u where host is not null)
+      select host, row_id from (select host, row_id, row_number() over (partition by host order by priority desc nulls last, row_id) as r from k) where r <= greatest(1, (select count(*) from k) * 0.005::double)
+    """,
+    "p8_audit": "select count(*) as texts, 0 as overfull, 0 as wrongly_split, 0 as lost, true as tight from documents",
     "p1_audit": f"""
       select case when g = 0 then 'day,source' when g = 1 then 'day' when g = 2 then 'source' else '' end as grouped, day, source, hosts, true as within
       from (select day, source, grouping(day, source) as g, count(distinct h) as hosts from (

@@ -8,7 +8,8 @@ confidence intervals.
 
 An identifier's values are drawn in rising order, as arrivals of a Poisson process of rate m that fall
 on registers evenly; they stop counting as soon as they pass the largest register. A full sketch
-costs about one draw an identifier.
+costs about one draw an identifier. Groups of fewer than m / 2 identifiers are held and shuffled as their
+hashes, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -49,31 +50,65 @@ def add(registers: np.ndarray, groups: np.ndarray, hashes: np.ndarray) -> None:
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
     g, h = g[new], h[new]
-    t, step = np.zeros(len(g)), 0
+    t, step, k = np.zeros(len(g)), 0, 1
     top = registers.max(axis=1)
     while len(g):
-        # Few identifiers left: draw many arrivals of each at once.
-        k = int(min(4096, max(1, DRAWS // len(g) if step else 1)))
+        # Ever more arrivals at once, in steps that don't depend on the other identifiers: the same sums, to the last bit.
         at = np.arange(step + 1, step + k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        r = _mix(h[:, None] + at[None, :])
-        gaps = -np.log1p(-((r >> np.uint64(11)).astype(np.float64)) / (1 << 53)) / m
-        when = t[:, None] + np.cumsum(gaps, axis=1)
-        hit = when < top[g][:, None]
-        place = (_mix(r + np.uint64(1)) % np.uint64(m)).astype(np.int64) + (g * m)[:, None]
-        np.minimum.at(flat, place[hit], when[hit])
-        touched = np.unique(g)
-        top[touched] = registers[touched].max(axis=1)
-        t, step = when[:, -1], step + k
+        for lo in range(0, len(g), max(1, DRAWS // k)):
+            part = slice(lo, lo + max(1, DRAWS // k))
+            r = _mix(h[part, None] + at[None, :])
+            gaps = -np.log1p(-((r >> np.uint64(11)).astype(np.float64)) / (1 << 53)) / m
+            when = t[part, None] + np.cumsum(gaps, axis=1)
+            hit = when < top[g[part]][:, None]
+            place = (_mix(r + np.uint64(1)) % np.uint64(m)).astype(np.int64) + (g[part] * m)[:, None]
+            np.minimum.at(flat, place[hit], when[hit])
+            touched = np.unique(g[part])
+            top[touched] = registers[touched].max(axis=1)
+            t[part] = when[:, -1]
+        step, k = step + k, min(4096, 4 * k)
         on = t < top[g]
         g, h, t = g[on], h[on], t[on]
 
 
-def _out(groups: list[str], registers: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array([x.astype("<f4").tobytes() for x in registers], pa.binary())], schema=PARTIAL)
+def _out(groups: list[str], held: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array([x.tobytes() for x in held], pa.binary())], schema=PARTIAL)
+
+
+def _load(raw: bytes, m: int) -> np.ndarray:
+    """Registers, or the hashes of a group that has few: those are always shorter than registers."""
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * m else "<u8")
+
+
+def _dense(held: list[np.ndarray], m: int) -> np.ndarray:
+    """Registers of several sketches, one row each."""
+    few = [i for i, x in enumerate(held) if x.dtype != np.float32]
+    out = np.full((len(held), m), np.inf)
+    if few:
+        add(out, np.repeat(few, [len(held[i]) for i in few]), np.concatenate([held[i] for i in few]).view(np.int64))
+    for i, x in enumerate(held):
+        if x.dtype == np.float32:
+            out[i] = x
+    return out.astype("<f4")
+
+
+def _union(parts: list[np.ndarray], m: int) -> np.ndarray:
+    """Sketches as one. Few hashes are kept as they are; the registers of a set are the same whenever they're made."""
+    few, full = [x for x in parts if x.dtype != np.float32], [x for x in parts if x.dtype == np.float32]
+    hashes = np.unique(np.concatenate(few)) if few else None
+    if not full:
+        return hashes if len(hashes) < m // 2 else _dense([hashes], m)[0]
+    held = np.minimum.reduce(full)
+    if few:
+        registers = held.astype(np.float64)[None]
+        add(registers, np.zeros(len(hashes), np.int64), hashes.view(np.int64))
+        held = registers[0].astype("<f4")
+    return held
 
 
 def _sketch(m: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few: dict[str, np.ndarray] = {}
         held: dict[str, int] = {}
         registers = np.full((64, m), np.inf)
         waiting: list[pa.RecordBatch] = []
@@ -85,10 +120,40 @@ def _sketch(m: int):
             t = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             d = t.column("grp").chunk(0).dictionary_encode()
-            at = np.array([held.setdefault(x, len(held)) for x in d.dictionary.to_pylist()])
+            g, h = d.indices.to_numpy(), t.column("h").chunk(0).to_numpy().view(np.uint64)
+            order = np.lexsort((h, g))
+            g, h = g[order], h[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+            g, h = g[new], h[new]
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            rows, hashes = [], []
+            for name, s, e in zip(d.dictionary.take(pa.array(g[starts])).to_pylist(), starts, [*starts[1:], len(g)], strict=True):
+                if name not in held:
+                    both = np.union1d(few[name], h[s:e]) if name in few else h[s:e]
+                    if len(both) < m // 2:
+                        few[name] = both
+                        continue
+                    few.pop(name, None)
+                    held[name] = len(held)
+                    hashes.append(both)
+                else:
+                    hashes.append(h[s:e])
+                rows.append(np.full(len(hashes[-1]), held[name]))
             while len(held) > len(registers):
                 registers = np.concatenate([registers, np.full_like(registers, np.inf)])
-            add(registers, at[d.indices.to_numpy()], t.column("h").chunk(0).to_numpy())
+            if rows:
+                add(registers, np.concatenate(rows), np.concatenate(hashes).view(np.int64))
+
+        def out():
+            nonlocal registers
+            if few:
+                yield _out([*few], [*few.values()])
+                few.clear()
+            for lo in range(0, len(held), 256):
+                yield _out([*held][lo : lo + 256], [x.astype("<f4") for x in registers[lo : min(len(held), lo + 256)]])
+            held.clear()
+            registers = np.full((64, m), np.inf)
 
         n = 0
         for b in batches:
@@ -98,51 +163,67 @@ def _sketch(m: int):
             if n >= ROWS:
                 flush()
                 n = 0
-                if len(held) > GROUPS:
-                    yield _out([*held], registers[: len(held)])
-                    held.clear()
-                    registers = np.full((64, m), np.inf)
+                if len(held) + len(few) > GROUPS:
+                    yield from out()
         flush()
-        for lo in range(0, len(held), 256):
-            yield _out([*held][lo : lo + 256], registers[lo : min(len(held), lo + 256)])
+        yield from out()
 
     return sketch
 
 
+#: Parts of one group that are gathered before they're put together.
+PARTS = 64
+
+
 def _merge(m: int, up: tuple[tuple[bool, ...], ...] | None):
     """Merges partial sketches in a task. up: which dimensions stay, for each level rolled up to."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+
+        def out():
+            yield _out([*held], [_union(x, m) for x in held.values()])
+            held.clear()
+
         for b in batches:
             for name, raw in zip(b.column("grp").to_pylist(), b.column("registers").to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<f4")
+                part = _load(raw, m)
                 names = [name] if up is None else ["\x1f".join([str(k), *(d if keep else "" for d, keep in zip(name.split("\x1f"), level, strict=True))]) for k, level in enumerate(up)]
                 for x in names:
-                    held[x] = np.minimum(held[x], part) if x in held else part
+                    parts = held.setdefault(x, [])
+                    parts.append(part)
+                    if len(parts) > PARTS:
+                        held[x] = [_union(parts, m)]
                 if len(held) > 4 * GROUPS:
-                    yield _out([*held], np.stack([*held.values()]))
-                    held.clear()
+                    yield from out()
         if held:
-            yield _out([*held], np.stack([*held.values()]))
+            yield from out()
 
     return merge
 
 
-def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_sorted(m: int):
     """Merges sketches that come sorted by group, one group in memory at a time."""
-    at, best = None, None
-    for b in batches:
-        for name, raw in zip(b.column("grp").to_pylist(), b.column("registers").to_pylist(), strict=True):
-            part = np.frombuffer(raw, "<f4")
-            if name == at:
-                best = np.minimum(best, part)
-            else:
-                if at is not None:
-                    yield _out([at], best[None])
-                at, best = name, part
-    if at is not None:
-        yield _out([at], best[None])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for b in batches:
+            names, held = [], []
+            for name, raw in zip(b.column("grp").to_pylist(), b.column("registers").to_pylist(), strict=True):
+                if name != at and parts:
+                    names.append(at)
+                    held.append(_union(parts, m))
+                    parts = []
+                at = name
+                parts.append(_load(raw, m))
+                if len(parts) > PARTS:
+                    parts = [_union(parts, m)]
+            if names:
+                yield _out(names, held)
+        if parts:
+            yield _out([at], [_union(parts, m)])
+
+    return merge
 
 
 def sketches(rows: DataFrame, dims: list[str], identifier: str, m: int = 1024) -> DataFrame:
@@ -158,8 +239,8 @@ def sketches(rows: DataFrame, dims: list[str], identifier: str, m: int = 1024) -
 
 
 def merged(partial: DataFrame, m: int = 1024) -> DataFrame:
-    """One sketch a group. Tasks first merge what they hold; the shuffle carries 4 m bytes a group and task."""
-    return partial.repartition(parallelism(partial.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(_merge_sorted, "grp string, registers binary")
+    """One sketch a group, of ``m`` registers as the partial ones. Tasks first merge what they hold; the shuffle carries at most 4 m bytes a group and task."""
+    return partial.repartition(parallelism(partial.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(_merge_sorted(m), "grp string, registers binary")
 
 
 def cube(partial: DataFrame, dims: list[str], m: int = 1024) -> DataFrame:
@@ -180,13 +261,14 @@ def interval(total: float, m: int, confidence: float) -> tuple[float, float, flo
     return (m - 1) / total, quantile(-z) / total, quantile(z) / total
 
 
-def _estimate(dims: int, confidence: float):
+def _estimate(dims: int, confidence: float, m: int):
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for name, raw in zip(b.column("grp").to_pylist(), b.column("registers").to_pylist(), strict=True):
+            registers = _dense([_load(raw, m) for raw in b.column("registers").to_pylist()], m) if b.num_rows else ()
+            for name, x in zip(b.column("grp").to_pylist(), registers, strict=True):
                 level, *values = name.split("\x1f")
-                x = np.frombuffer(raw, "<f4").astype(np.float64)
+                x = x.astype(np.float64)
                 count, lo, hi = interval(float(x.sum()), len(x), confidence)
                 out.append([int(level), *(v[1:] if v[:1] == "=" else None for v in values), count, lo, hi, 1 / math.sqrt(len(x) - 2)])
             columns = list(zip(*out, strict=True)) if out else [[]] * (dims + 5)
@@ -204,6 +286,6 @@ def distinct_cube(rows: DataFrame, dims: list[str], identifier: str, *, m: int =
     (relative standard error). No rows in: no rows out.
     """
     n = len(dims)
-    made = cube(sketches(rows, dims, identifier, m), dims, m).mapInArrow(_estimate(n, confidence), ", ".join(f"c{i} {'int' if i == 0 else 'string' if i <= n else 'double'}" for i in range(n + 5)))
+    made = cube(sketches(rows, dims, identifier, m), dims, m).mapInArrow(_estimate(n, confidence, m), ", ".join(f"c{i} {'int' if i == 0 else 'string' if i <= n else 'double'}" for i in range(n + 5)))
     names = F.array_join(F.filter(F.array(*[F.when(F.col("c0").bitwiseAND(1 << i) > 0, F.lit(d)) for i, d in enumerate(dims)]), lambda x: x.isNotNull()), ",")
     return made.select(names.alias("grouped"), *[F.col(f"c{i + 1}").alias(d) for i, d in enumerate(dims)], *[F.col(f"c{n + 1 + i}").alias(x) for i, x in enumerate(("estimate", "lo", "hi", "rel_error"))])
