@@ -43,9 +43,8 @@ def test_finds_and_restores(spark):
     assert right >= 0.95 * len(bad)
 
 
-def test_without_broadcast(spark, monkeypatch):
+def test_repeated_rows(spark):
     docs, bad = corpus()
-    monkeypatch.setattr(E, "BROADCAST_FORMS", 1)
     df = spark.createDataFrame(docs, "doc_id long, text string, form string, n int")
     assert {r.doc_id for r in E.garbled_documents(df.union(df)).collect()} == {*bad}
 

@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from tests.llm.test_encoding import CLEAN
 from tidemark.llm import encoding as E
 
@@ -18,10 +16,8 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 1])
-def test_quotes_in_garbled_texts(spark, monkeypatch, broadcast):
+def test_quotes_in_garbled_texts(spark):
     """Quote marks within garbled runs are letters, and quoted words of garbled texts are garbled as well."""
-    monkeypatch.setattr(E, "BROADCAST_FORMS", broadcast)
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     got = {r.doc_id: r for r in E.restored_documents(df).collect()}
     assert set(got) == {1000, 1001, 1002}

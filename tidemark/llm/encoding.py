@@ -14,15 +14,15 @@ transformation turns back into the corpus's own alphabet.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, parallelism, ship
@@ -36,8 +36,9 @@ TWICE = ["cp1252", "iso8859-1", "cp1250", "cp1251", "mac-roman", "cp437", "cp850
 #: A transformation is a chain of (true encoding, encoding read in).
 TRANSFORMATIONS = [((t, w),) for t in ENCODINGS for w in ENCODINGS if t != w] + [(("utf-8", a), ("utf-8", b)) for a in TWICE for b in TWICE]
 MARK = "�"
-#: Rows of garbled forms up to which they're broadcast: some 10 MB.
-BROADCAST_FORMS = 100_000
+#: A transformation is chosen for at least this share of all forms that have an explanation: a few forms of a large
+#: corpus look by chance as if they were garbled.
+LEAST_SHARE = 0.0005
 
 FORM = r"[A-Za-z0-9]*+[^\x00-\x7F][A-Za-z0-9\x80-\U0010FFFF]*+"
 #: Marks that stand before or after a word without being part of it.
@@ -77,13 +78,39 @@ def _encode(text: str, encoding: str) -> bytes | None:
         return None
 
 
+class _Turns(dict):
+    """Translation of characters; those that the true encoding lacks become NONE."""
+
+    def __missing__(self, _: int) -> str:
+        return NONE
+
+
+NONE = "\uffff"
+_turns: dict[tuple[str, str], _Turns] = {}
+
+
+def _turn(true: str, read: str) -> _Turns:
+    """How each character of an encoding of one byte looks when it's read in another; of utf-8, how each of its bytes looks."""
+    if (true, read) not in _turns:
+        chars = _table(read)[0]
+        _turns[true, read] = _Turns(enumerate(chars)) if true == "utf-8" else _Turns((ord(c), chars[b]) for c, b in _table(true)[1].items())
+    return _turns[true, read]
+
+
 def garble(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """A text as it looks after it was read wrongly; None where it couldn't have been."""
     for true, read in chain:
-        raw = _encode(text, true)
-        if raw is None:
-            return None
-        text = raw.decode("utf-8", "replace") if read == "utf-8" else "".join(map(_table(read)[0].__getitem__, raw))
+        if read == "utf-8":
+            raw = _encode(text, true)
+            if raw is None:
+                return None
+            text = raw.decode("utf-8", "replace")
+        elif true == "utf-8":
+            text = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_turn(true, read))
+        else:
+            text = text.translate(_turn(true, read))
+            if NONE in text:
+                return None
     return text
 
 
@@ -183,6 +210,9 @@ def _unlike(form: str) -> bool:
     return len(scripts) > 1
 
 
+#: What every quoted example begins with: most texts hold none, and this is looked for faster than the whole.
+_maybe = re.compile(r"""["“„«'‘`(]\s?[^\x00-\x7F]""")
+_run = re.compile(r"[A-Za-z0-9\x80-\U0010FFFF]+")
 _form, _quoted, _around, _digits = re.compile(FORM), re.compile(QUOTED), re.compile(AROUND), re.compile("[0-9]+")
 _variants: dict[str, tuple[str, ...]] = {}
 
@@ -204,47 +234,39 @@ def variants(run: str) -> tuple[str, ...]:
 
 
 def _forms(text: str) -> set[str]:
-    return {x for run in set(_form.findall(text)) for x in variants(run)}
+    """Runs of letters, digits and characters beyond ASCII that hold one of the latter (``FORM``), as they count."""
+    return {x for run in set(_run.findall(text)) if not run.isascii() for x in variants(run)}
 
 
 def forms_in(text: str) -> set[str]:
     """Distinct forms of a text. Quoted examples don't count."""
-    return set() if text.isascii() else _forms(_quoted.sub(" ", text))
+    return set() if text.isascii() else _forms(_quoted.sub(" ", text) if _maybe.search(text) else text)
 
 
 def quoted_in(text: str) -> set[str]:
     """Distinct forms that stand in a text as quoted examples only. They count where the rest of the text is garbled."""
-    return set() if text.isascii() or not _quoted.search(text) else _forms(text) - forms_in(text)
-
+    return set() if text.isascii() or not _maybe.search(text) or not _quoted.search(text) else _forms(text) - forms_in(text)
 
-def _texts(documents: DataFrame) -> DataFrame:
-    """(digest, text, weight) of texts with a character beyond ASCII. Each of m equal texts weighs 1/m: only digests are
-    shuffled, and only repeated ones joined."""
-    texts = documents.where(F.octet_length("text") > F.length("text")).select(F.xxhash64("text").alias("digest"), "text")
-    repeated = texts.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
-    return texts.join(repeated, "digest", "left").select("digest", "text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
 
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text (form empty) and for each of its forms."""
+    for b in batches:
+        ids, digests = b.column("doc_id"), b.column("digest")
+        of, forms, quoted = [], [], []
+        for i, text in enumerate(b.column("text").to_pylist()):
+            found, also = forms_in(text), quoted_in(text)
+            of += [i] * (1 + len(found) + len(also))
+            forms += ["", *found, *also]
+            quoted += [False] * (1 + len(found)) + [True] * len(also)
+        at = pa.array(of, pa.int32())
+        yield pa.RecordBatch.from_arrays([ids.take(at), digests.take(at), pa.array(forms, pa.string()), pa.array(quoted, pa.bool_())], names=["doc_id", "digest", "form", "quoted"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights of texts by form, added up in the task; at most so many forms are held at once. Quoted examples weigh 0."""
-    n: Counter[str] = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(map(float, n.values()), pa.float64())], names=["form", "n"])
 
-    for b in batches:
-        for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
-            if weight == 1:
-                n.update(forms_in(text))
-            else:
-                for x in forms_in(text):
-                    n[x] += weight
-            for x in quoted_in(text):
-                n[x] += 0
-        if len(n) > 200_000:
-            yield out()
-            n.clear()
-    yield out()
+def picked(documents: DataFrame) -> DataFrame:
+    """(doc_id, digest, form, quoted): the forms of each text beyond ASCII, from the one pass over the corpus, as a written
+    table. A row without form stands for the text itself."""
+    texts = documents.where(F.octet_length("text") > F.length("text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return materialize(texts.mapInArrow(_pick, "doc_id long, digest long, form string, quoted boolean"), "picked")
 
 
 def _with_flaws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,10 +274,15 @@ def _with_flaws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(flaw=[flaw(f) for f in b["form"]])
 
 
-def corpus_forms(documents: DataFrame) -> DataFrame:
-    """(form, n, flaw, skeleton): distinct forms and the number of distinct texts that hold them, 0 for quoted examples."""
-    each = _texts(documents).select("text", "weight").mapInArrow(_count, "form string, n double")
-    forms = each.groupBy("form").agg(F.round(F.sum("n")).cast("long").alias("n")).mapInPandas(_with_flaws, "form string, n long, flaw int")
+def corpus_forms(picks: DataFrame) -> DataFrame:
+    """(form, n, flaw, skeleton): distinct forms and the number of distinct texts that hold them, 0 for quoted examples.
+
+    Each of m equal texts counts 1/m: only digests that are there several times join the forms.
+    """
+    copies = picks.where("form = ''").groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = picks.where("form <> ''").join(copies, "digest", "left")
+    n = F.round(F.sum(F.when(F.col("quoted"), 0.0).otherwise(1 / F.coalesce("copies", F.lit(1))))).cast("long")
+    forms = rows.groupBy("form").agg(n.alias("n")).mapInPandas(_with_flaws, "form string, n long, flaw int")
     return forms.withColumn("skeleton", F.regexp_replace("form", r"[^\x00-\x7F]+", ""))
 
 
@@ -327,7 +354,7 @@ def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: in
 
     Votes come from near-twins, forms with the same ASCII characters and gaps, each with each, and for forms that have hardly any from the look-up of whole forms. A
     clean twin is the better word, or as good a one in ``ratio`` times as many texts (``_vote``). Transformations are chosen one after another by the number of
-    forms that only they explain among those chosen so far, down to ``votes``. All forms count: the ways in which forms
+    forms that only they explain among those chosen so far, down to ``votes`` and to LEAST_SHARE of all explained forms. All forms count: the ways in which forms
     can be explained are tallied on the driver up to ``most_sets`` of them, and by a job a round beyond.
     """
     letters = F.length(F.regexp_replace("skeleton", "[0-9]", ""))
@@ -344,6 +371,7 @@ def learn(forms: DataFrame, *, ratio: float = 5.0, votes: int = 3, most_sets: in
     # How many forms each set of transformations explains; there are as many sets as ways in which encodings overlap.
     sets = by_twin.unionByName(by_look).groupBy("form").agg(F.array_sort(F.collect_set("chain")).alias("chains")).groupBy("chains").agg(F.count("*").alias("n"))
     sets = materialize(sets, "ways")
+    votes = max(votes, math.ceil(LEAST_SHARE * sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     if sets.limit(most_sets + 1).count() > most_sets:
         return sorted(_chosen_in_rounds(sets, votes))
     left = {frozenset(r.chains): r.n for r in sets.collect()}  # most_sets at most
@@ -395,28 +423,20 @@ def _odd(form: str) -> bool:
     return bool(kinds - {"L"}) or len(scripts) > 1
 
 
-def _beside(documents: DataFrame, images: DataFrame, worse: DataFrame) -> DataFrame:
+def _beside(picks: DataFrame, images: DataFrame, worse: DataFrame) -> DataFrame:
     """Images as good as their clean form, where most texts that hold them hold worse ones of the same transformation."""
     sure = worse.select("form", "chain").distinct()
     open_ = images.where("not worse and not piece").join(sure.select("form").distinct(), "form", "left_anti").join(sure.select("chain").distinct(), "chain", "left_semi")
-    if open_.isEmpty():
-        return open_
-    names = open_.select("form", F.lit(False).alias("sure")).union(sure.select("form", F.lit(True))).groupBy("form").agg(F.max("sure").alias("sure"))
-    texts = _texts(documents).select(F.col("digest").alias("doc_id"), "text")
-    known, needed = None, None
-    if names.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
-        listed = names.collect()  # BROADCAST_FORMS at most
-        known, needed = frozenset(r.form for r in listed), frozenset(r.form for r in listed if r.sure)
-    hits = texts.mapInArrow(_pick(known, needed), PICKED)
-    hits = materialize((hits if known is not None else hits.join(names.select("form"), "form", "left_semi")).select("doc_id", "form").distinct(), "hits")
-    spoilt = hits.join(sure, "form").select("doc_id", "chain").distinct()
-    share = hits.join(open_.select("form", "n", "chain").distinct(), "form").join(spoilt, ["doc_id", "chain"], "left_semi").groupBy("form", "chain", "n").agg(F.count("*").alias("spoilt")).where(2 * F.col("spoilt") > F.col("n"))
+    rows = picks.where("form <> '' and not quoted").select("digest", "form")
+    spoilt = materialize(rows.join(sure, "form").select("digest", "chain").distinct(), "spoilt")
+    held = rows.join(open_.select("form", "n", "chain").distinct(), "form").join(spoilt, ["digest", "chain"], "left_semi").distinct()
+    share = held.groupBy("form", "chain", "n").agg(F.count("*").alias("spoilt")).where(2 * F.col("spoilt") > F.col("n"))
     return open_.join(share.select("form", "chain"), ["form", "chain"], "left_semi").select(*images.columns)
 
 
-def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -> DataFrame:
-    """Garbled forms of a corpus: (form, clean, chain), a written table. clean is null where nothing tells the original."""
-    forms = materialize(corpus_forms(documents), "forms")
+def garbled_forms(picks: DataFrame, *, ratio: float = 5.0, votes: int = 3) -> DataFrame:
+    """Garbled forms of a corpus (``picked``): (form, clean, chain), a written table. clean is null where nothing tells the original."""
+    forms = materialize(corpus_forms(picks), "forms")
     chains = tuple(learn(forms, ratio=ratio, votes=votes))
     marks = [k for k, c in enumerate(TRANSFORMATIONS) if c[-1][1] == "utf-8"]  # bytes that were no UTF-8: replacement marks
     images = forms.where((F.col("n") > 0) & ~F.col("form").rlike("[\x80-\x9f�]")).select("form", "n").repartition(parallelism(forms.sparkSession)).mapInPandas(_images(tuple(sorted({*chains, *marks})), ratio), IMAGES)
@@ -429,7 +449,7 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     found = found.where(many | (beyond >= 3) | (F.length("skeleton") >= 1))
     found = materialize(found.select("form", "n", "clean", "seen", "n_clean", "chain", "piece", (_worse() & ~F.col("piece")).alias("worse"), _rarer(ratio).alias("rarer")), "images")
     worse = found.where("worse")
-    beside = _beside(documents, found, worse)
+    beside = _beside(picks, found, worse)
     sure = materialize(worse.unionByName(beside).select("form", "clean", "seen", "n_clean", "chain"), "sure")
     rarer = found.where("rarer").join(sure.select("form").distinct(), "form", "left_anti").select(*sure.columns)
     found = sure.unionByName(rarer)
@@ -444,40 +464,17 @@ def garbled_forms(documents: DataFrame, *, ratio: float = 5.0, votes: int = 3) -
     return materialize(found.unionByName(rest), "garbled")
 
 
-def _pick(known: frozenset[str] | None, needed: frozenset[str] | None = None, quoted: bool = False):
-    """Forms of each document; only the known ones, where they're given, and of documents with a needed one. Quoted ones
-    on demand, and not where all that is known of a document is quoted."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, forms, marks = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found = forms_in(text) if text else set()
-                found = found if known is None else found & known
-                if needed is not None and needed.isdisjoint(found):
-                    continue
-                also = quoted_in(text) if quoted and text and (found or known is None) else set()
-                also = also if known is None else also & known
-                ids += [doc] * (len(found) + len(also))
-                forms += [*found, *also]
-                marks += [False] * len(found) + [True] * len(also)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string()), pa.array(marks, pa.bool_())], names=["doc_id", "form", "quoted"])
-
-    return pick
-
-
-PICKED = "doc_id long, form string, quoted boolean"
-
+def _with_garbled(picks: DataFrame, garbled: DataFrame, quoted: bool = False) -> DataFrame:
+    """(doc_id, digest, form, clean) of each document's garbled forms; on demand with those quoted in documents that have others.
 
-def _with_garbled(documents: DataFrame, garbled: DataFrame, quoted: bool = False) -> DataFrame:
-    """(doc_id, form, clean) of each document's garbled forms; on demand with those quoted in documents that have others."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if garbled.count() <= BROADCAST_FORMS:
-        known = frozenset(r.form for r in garbled.select("form").collect())  # BROADCAST_FORMS at most
-        return texts.mapInArrow(_pick(known, quoted=quoted), PICKED).join(F.broadcast(garbled), "form")
-    # Frequent forms are split by AQE; garbled ones are never the frequent ones.
-    hits = texts.mapInArrow(_pick(None, quoted=quoted), PICKED).join(garbled, "form")
-    return hits.withColumn("open", F.max(~F.col("quoted")).over(Window.partitionBy("doc_id"))).where("open") if quoted else hits
+    Forms join forms, whatever their number: garbled ones are never the frequent ones, and hot forms are split by AQE.
+    """
+    hits = picks.where("form <> ''").join(garbled, "form")
+    open_ = hits.where("not quoted")
+    if not quoted:
+        return open_
+    spoilt = open_.select("doc_id", "digest").distinct()
+    return hits.join(spoilt, ["doc_id", "digest"], "left_semi")
 
 
 def garbled_documents(documents: DataFrame, **options) -> DataFrame:
@@ -486,7 +483,8 @@ def garbled_documents(documents: DataFrame, **options) -> DataFrame:
     Null, empty and plain ASCII texts never are; a sequence quoted by itself as an example doesn't count. Repeated rows
     come out once. No rows in: no rows out.
     """
-    return _with_garbled(documents, garbled_forms(documents, **options)).select("doc_id").distinct()
+    picks = picked(documents)
+    return _with_garbled(picks, garbled_forms(picks, **options)).select("doc_id").distinct()
 
 
 def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -525,6 +523,30 @@ def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def restored_documents(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, restored, left) of garbled texts: the text with every garbled form that has a known original put
     right, those in quotes too, as the text isn't sound, and the number of those left as they were."""
-    pairs = _with_garbled(documents, garbled_forms(documents, **options), quoted=True).select("doc_id", "form", "clean").groupBy("doc_id").agg(F.collect_set(F.struct("form", "clean")).alias("pairs"))
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(pairs, "doc_id")
-    return texts.mapInPandas(_restored, "doc_id long, restored string, left long")
+    picks = picked(documents)
+    pairs = _with_garbled(picks, garbled_forms(picks, **options), quoted=True).select("doc_id", "digest", "form", "clean").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("form", "clean")).alias("pairs"))
+    texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").join(pairs, ["doc_id", "digest"])
+    return texts.select("doc_id", "text", "pairs").mapInPandas(_restored, "doc_id long, restored string, left long")
+
+
+#: Ways in which ``planted`` garbles: what is common for Latin and for Cyrillic texts.
+PLANTED = {"latin": [("utf-8", "cp1252"), ("utf-8", "iso8859-1"), ("cp1252", "mac-roman"), ("utf-8", "cp1250")], "cyrillic": [("utf-8", "cp1251"), ("cp1251", "koi8-r"), ("utf-8", "cp1252"), ("cp866", "cp1251")]}
+
+
+def _planted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            kinds = PLANTED["cyrillic" if sum("\u0400" <= c <= "\u04ff" for c in text) > len(text) / 4 else "latin"]
+            pair = kinds[doc % len(kinds)]
+            # What the encoding lacks was written otherwise before.
+            plain = text if pair[0] == "utf-8" else "".join(c if _encode(c, pair[0]) is not None else "?" for c in text)
+            g = garble(plain, (pair,))
+            if g and g != plain:
+                out.append((-1 - doc, plain, g))
+        yield pd.DataFrame(out, columns=["doc_id", "text", "garbled"])
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, garbled): texts and what a wrong encoding makes of them, under new ids (-1 - doc_id)."""
+    return documents.select("doc_id", "text").mapInPandas(_planted, "doc_id long, text string, garbled string")

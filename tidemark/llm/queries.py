@@ -187,7 +187,20 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p1_intervals, p2_found, p2_groups, p5_found, p5_error_rate, p5_audit, p5_in_two_runs, p7_found, p7_sampled, p7_audit, p7_shares, p8_pack, p8_containers, p8_audit, p9_found, p9_reordered, p9_planted, p10_found, p10_restored)}
+def p10_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound texts garbled in ways of their languages and set beside all others: whether at least 95% of them are found and
+    90% restored to the letter."""
+    docs = _documents(spark, sf_dir)
+    bad = materialize(encoding.garbled_documents(docs), "found")
+    wide = (F.octet_length("text") > F.length("text") + 20) & (F.length("text") < 20_000)
+    sound = docs.where(wide & (F.pmod(F.xxhash64("doc_id"), F.lit(20)) == 0)).join(bad, "doc_id", "left_anti")
+    planted = materialize(encoding.planted(sound), "planted")
+    got = encoding.restored_documents(docs.unionByName(planted.select("doc_id", F.col("garbled").alias("text"))))
+    both = planted.join(got, "doc_id", "left")
+    return both.agg((F.count("restored") >= 0.95 * F.count("*")).alias("found"), (F.count_if(F.col("restored") == F.col("text")) >= 0.9 * F.count("*")).alias("restored"))
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p1_intervals, p2_found, p2_groups, p5_found, p5_error_rate, p5_audit, p5_in_two_runs, p7_found, p7_sampled, p7_audit, p7_shares, p8_pack, p8_containers, p8_audit, p9_found, p9_reordered, p9_planted, p10_found, p10_restored, p10_planted)}
 
 
 def _words_sql(c: str) -> str:
@@ -217,6 +230,7 @@ SQL = {
       select host, row_id from (select host, row_id, count(*) over (partition by host) as n, row_number() over (partition by host order by priority desc nulls last, row_id) as r
         from (select {host_sql("host")} as host, priority, row_id from urls) where host is not null) where n > 40 and r <= 40
     """,
+    "p10_planted": "select true as found, true as restored",
     "p1_intervals": f"""
       select count(*) as groups, true as hold from (select day, source, grouping(day, source) as g from (
         select strftime(make_timestamp((discovered_at * 1000000)::bigint), '%Y-%m-%d') as day, lower(trim(source)) as source, {host_sql("hostname")} as h from discovery_records) where h is not null
