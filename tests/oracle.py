@@ -13,6 +13,9 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+UNCOMPARED = "no SQL"
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.6g}"
@@ -40,11 +43,11 @@ def connect(folder):
 
 
 def compare(spark, folder, name, f, sql):
-    """None, or what differs."""
+    """None, or what differs; and the number of rows. Without SQL there is nothing to compare: ``UNCOMPARED`` and the rows."""
     df = f(spark, folder)
     got, names = rows(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
-        return None, len(got)
+        return UNCOMPARED, len(got)
     cur = connect(folder).execute(sql)
     want, wnames = rows([d[0] for d in cur.description], cur.fetchall())
     if names != wnames:
@@ -59,7 +62,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from tidemark.session import build
 
-    spark = build(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = build(master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = e.queries(), e.oracle_sql()
     names = [q for q in qs if any(q == x or (x.endswith("*") and q.startswith(x[:-1])) for x in sys.argv[2:])] if len(sys.argv) > 2 else list(qs)
@@ -67,6 +70,6 @@ if __name__ == "__main__":
         t = time.time()
         try:
             bad, k = compare(spark, sys.argv[1], n, qs[n], sqls.get(n))
-            print(f"{'OK  ' if not bad else 'DIFF'} {n}: {k} rows, {time.time() - t:.1f} s{'' if n in sqls else ' (no SQL)'} {bad or ''}", flush=True)
+            print(f"{'OK  ' if not bad else 'RAN ' if bad == UNCOMPARED else 'DIFF'} {n}: {k} rows, {time.time() - t:.1f} s {bad or ''}", flush=True)
         except Exception as x:
             print(f"FAIL {n}: {str(x)[:1500]}", flush=True)

@@ -24,7 +24,7 @@ def test_operators(spark, small, name, needs):
     assert needs in plan(spark, small, name)
 
 
-@pytest.mark.parametrize("name,columns", [("p6_found", "attempts,host,priority|host"), ("status_counts", "state"), ("frontier_pop", "row_id")])
+@pytest.mark.parametrize("name,columns", [("p6_hosts", "attempts,host,priority|host"), ("status_counts", "state"), ("frontier_pop", "row_id")])
 def test_only_needed_columns_are_read(spark, small, name, columns):
     text = plan(spark, small, name)
     assert "ReadSchema" in text and "document_id" not in text and "lease_owner" not in text
@@ -39,6 +39,29 @@ def test_no_cross_products(spark, small):
         assert "CartesianProduct" not in plan(spark, small, name) and "NestedLoop" not in plan(spark, small, name)
 
 
+def test_dominant_hosts_come_out_of_the_join(spark, small, monkeypatch):
+    """The states of urls and hosts are joined and written; the dominant hosts are named among them."""
+    from tidemark.plans import core_problems
+
+    plans = []
+    monkeypatch.setattr(core_problems, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    core_problems.p6_found(spark, small)
+    assert "Join LeftOuter" in plans[0] and "failures" in plans[0] and plans[0].count("Relation") == 2
+
+
+@pytest.mark.parametrize("name", ["hash_range_route", "value_range_route", "prefix_route", "pending_handoff"])
+def test_no_nested_loops_over_routes(spark, small, name):
+    text = plan(spark, small, name)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("name", ["search_bm25_or", "search_bm25_and", "search_full", "retrieve_or", "retrieve_and"])
+def test_searches_read_postings_of_their_terms_only(spark, small, name):
+    text = plan(spark, small, name)
+    assert "PartitionFilters: [isnotnull(bucket" in text or "PartitionFilters: [bucket" in text
+    assert "documents.parquet" not in text and "regexp_extract_all" not in text
+
+
 def test_numbers(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     h = 0

@@ -77,6 +77,33 @@ def joined(base: str | None, link: str | None) -> str | None:
         return None
 
 
+#: Parameters that track, or begin so.
+TRACKING_PREFIXES = ("utm_", "mc_", "fbclid", "gclid", "dclid", "msclkid", "ref_", "ref")
+
+
+def prefixed_url(url: str | None) -> str | None:
+    """A crawlable url with its parameters in their order, without those whose name begins with a tracking prefix; the
+    scheme is written in small letters, the host has a dot. None for others."""
+    text = (url or "").strip()
+    if not text.startswith(("http://", "https://")):
+        return None
+    try:
+        u = urlsplit(text)
+        host, port = (u.hostname or "").rstrip("."), u.port
+    except ValueError:
+        return None
+    if "." not in host:
+        return None
+    usual = {"http": 80, "https": 443}[u.scheme]
+    kept = [(k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if not k.casefold().startswith(TRACKING_PREFIXES)]
+    return urlunsplit((u.scheme, host if port in (None, usual) else f"{host}:{port}", u.path.rstrip("/") or "/", urlencode(kept), ""))
+
+
+@F.pandas_udf(T.StringType())
+def url_prefixed(url: pd.Series) -> pd.Series:
+    return url.map(prefixed_url)
+
+
 @F.pandas_udf(T.StringType())
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([joined(b, x) for b, x in zip(base, link, strict=True)], dtype=object)

@@ -26,6 +26,17 @@ def inbound(edge: DataFrame, domain: Column) -> DataFrame:
     return out.withColumn("volume", F.round(saturation(F.col("links")), 6)).withColumn("diversity", F.round(F.col("domains") / F.col("links"), 6)).withColumn("authority", F.round((saturation(F.col("links")) + saturation(F.col("hosts")) + saturation(F.col("domains"))) / 3, 6))
 
 
+def spread_of(edge: DataFrame, domain: Column) -> DataFrame:
+    """For each target: how evenly its sources link (population variance, 1 - its root), and whether many links come of few
+    domains (10 links or more, 0.7 of them beyond the first of a domain) or there is a flood of them."""
+    each = edge.withColumn("domain", domain)
+    domains = each.groupBy("target", "domain").agg(F.sum("links").alias("links")).groupBy("target").agg(F.count("*").alias("domains"))
+    out = edge.groupBy("target").agg(F.var_pop("links").alias("variance"), F.count("*").alias("sources"), F.sum("links").alias("links")).join(domains, "target")
+    few = (F.col("links") >= 10) & (1 - F.col("domains") / F.col("links") >= 0.7)
+    flood = F.log1p("links") / F.log1p(F.lit(1_000_000.0)) >= 0.8
+    return out.select("target", F.round("variance", 6).alias("variance"), F.round(F.greatest(F.lit(0.0), 1 - F.sqrt("variance")), 6).alias("evenness"), few.alias("few_domains"), flood.alias("flooded"), "sources")
+
+
 def reciprocal(edge: DataFrame) -> DataFrame:
     """Pairs that link to each other, each once, by the order of their names."""
     pair = edge.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), (F.col("source") < F.col("target")).alias("forth"), "links")

@@ -80,3 +80,19 @@ def compared(rows: DataFrame, key: str, order: str, parts: Sequence[str]) -> Dat
 def allocate(rows: DataFrame, key: str, cost: str, order: Sequence[Column], capacity: float) -> DataFrame:
     """Rows of each key, in an order without ties, as long as the sum of their costs keeps within a capacity."""
     return running_sum(rows, [key], order, cost, "__used").where(F.col("__used") <= capacity).drop("__used")
+
+
+def provenance_rules(source: str, evidence: str, at: str, metadata: str) -> list[tuple[str, Column]]:
+    """Rules for ``validated``: a source that isn't blank; evidence not blank, time not negative, metadata JSON where given."""
+    blank = lambda c: F.trim(F.col(c)) == ""
+    return [
+        ("source", F.col(source).isNull() | blank(source)),
+        ("evidence", F.coalesce(blank(evidence), F.lit(False))),
+        ("time", F.coalesce(F.col(at) < 0, F.lit(False))),
+        ("metadata", F.col(metadata).isNotNull() & F.try_parse_json(metadata).isNull()),
+    ]
+
+
+def confidence(source: Column, validation: Column, provenance: Column, inferred: Column) -> Column:
+    """0.5 x source + 0.35 x validation + 0.15 x provenance, and 0.85 of it for what is inferred (fixed values)."""
+    return (0.5 * source + 0.35 * validation + 0.15 * provenance) * F.when(inferred, 0.85).otherwise(1.0)

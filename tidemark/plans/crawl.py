@@ -105,13 +105,6 @@ def size_estimate(spark, sf_dir):
     return table(spark, sf_dir, "discovery_records").groupBy("partition_id").agg(F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias("characters"))
 
 
-@query(f"""select c.candidate_id, h.organization_domain from (select *, {host_sql('hostname')} as h from expansion_candidates) c join (select *, {host_sql('host')} as k from hosts) h on c.h = h.k
-  where c.status = 'discovered' order by c.discovered_at desc, c.candidate_id limit 200""")
-def pending_handoff(spark, sf_dir):
-    c = table(spark, sf_dir, "expansion_candidates").where("status = 'discovered'").withColumn("host", clean_host(F.col("hostname")))
-    return c.join(_hosts(spark, sf_dir).select("host", "organization_domain"), "host").orderBy(F.col("discovered_at").desc(), "candidate_id").limit(200).select("candidate_id", "organization_domain")
-
-
 @query("select distinct url from urls where url like 'https://%' order by url limit 500")
 def source_scan(spark, sf_dir):
     """Scan, filter, distinct, limit over parquet."""
@@ -228,26 +221,12 @@ def chunk_round_trip(spark, sf_dir):
     return back.select("doc_id", F.col("chunks").cast("int").alias("chunks"), F.sha2(F.col("data").cast("binary"), 256).alias("digest"), "complete")
 
 
-@query("select count(*) as checked, count(text) as healthy, 0::bigint as corrupted, count(*) filter (where text is null) as missing from documents")
-def integrity_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("checksum", F.sha2(F.col("text").cast("binary"), 256))
-    return storage.integrity(d, "text", "checksum")
-
-
 @query("select record_id, url from (select record_id, arg_max(struct_pack(op := case when priority < 20 then 'delete' else 'put' end, url := url), created_at) as l from discovery_records group by 1) t, lateral (select l.op as op, l.url as url) x where op <> 'delete'")
 def log_replay(spark, sf_dir):
     r = table(spark, sf_dir, "discovery_records").select("record_id", "created_at", F.when(F.col("priority") < 20, "delete").otherwise("put").alias("op"), "url")
     return storage.replay(r, "record_id", "created_at", "op", "url")
 
 
-@query(f"""with s as (select distinct {host_sql('host')} as k from hosts where host is not null), t as (select distinct {host_sql('hostname')} as k from discovery_work where hostname is not null)
-  select coalesce(s.k, t.k) as key, case when t.k is null then 'put' else 'delete' end as action from s full join t on s.k = t.k where s.k is null or t.k is null""")
-def replica_repair(spark, sf_dir):
-    s = _hosts(spark, sf_dir).select(F.col("host").alias("key")).where("key is not null").withColumn("sum", F.sha2("key", 256))
-    t = table(spark, sf_dir, "discovery_work").select(clean_host(F.col("hostname")).alias("key")).where("key is not null").withColumn("sum", F.sha2("key", 256))
-    return storage.replica_repair(s, t, "key", "sum")
-
-
 @query("select work_id, count(distinct worker_id) as replicas, count(distinct worker_id) >= 2 as durable from recovery_events where worker_id is not null group by 1")
 def replica_quorum(spark, sf_dir):
     return storage.quorum(table(spark, sf_dir, "recovery_events").where("worker_id is not null"), "work_id", "worker_id", 2)
@@ -311,11 +290,6 @@ def link_authority(spark, sf_dir):
     return graph.inbound(_edges(spark, sf_dir), F.regexp_extract("source", r"[^.]+\.[^.]+$", 0))
 
 
-@query(f"with {_EDGES} select a.source as a, a.target as b, a.links + b.links as links from edges a join edges b on a.source = b.target and a.target = b.source and a.source < a.target")
-def link_reciprocity(spark, sf_dir):
-    return graph.reciprocal(_edges(spark, sf_dir))
-
-
 @query(f"""with recursive {_EDGES}, r(node, hops) as (select source, 0 from (select source from edges order by links desc, source limit 5) union select e.target, r.hops + 1 from r join edges e on e.source = r.node where r.hops < 4)
   select node, min(hops) as hops from r group by 1""")
 def link_paths(spark, sf_dir):

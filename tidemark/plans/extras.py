@@ -85,14 +85,6 @@ def knowledge_retrieval(spark, sf_dir):
     return knowledge.recall(d, "doc_id", "title", "confidence", ["crawl", "index"], 20)
 
 
-@query(f"""with {_EDGES}, t as (select source as s, target as o, least(1.0, links / 2.0) as c from edges) select a.s as subject, b.o as object, round(max(a.c * b.c * 0.85), 6) as confidence, count(*) as evidence from t a join t b on a.o = b.s and a.s <> b.o
-  where not exists (select 1 from t x where x.s = a.s and x.o = b.o) group by 1, 2""")
-def inference(spark, sf_dir):
-    """Links that two links in a row suggest and that aren't there."""
-    t = _edges(spark, sf_dir).select(F.col("source").alias("subject"), F.col("target").alias("object"), F.least(F.lit(1.0), F.col("links") / 2.0).alias("confidence"))
-    return knowledge.infer(t, 0.85).withColumn("confidence", F.round("confidence", 6))
-
-
 @query("""with p as (select logical_partition as p, count(*) as expected from discovery_work group by 1), d as (select partition_id as p, count(distinct hostname) as actual from discovery_records group by 1)
   select p as partition, expected, coalesce(actual, 0) as actual, greatest(0, expected - coalesce(actual, 0)) as deficit, round(100.0 * greatest(0, expected - coalesce(actual, 0)) / greatest(expected, 1), 4) as gap from p left join d using (p)""")
 def coverage_gaps(spark, sf_dir):
