@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean_host
 from tidemark.operators import frontier, graph, knowledge, routing, search, signals
 from tidemark.plans.core_problems import host_sql
-from tidemark.plans.crawl import _EDGES, _SAT, NOW, _edges
+from tidemark.plans.crawl import _EDGES, _SAT, NOW, QUERIES as QUERIES_OF_CRAWL, SQL as SQL_OF_CRAWL, _edges
 from tidemark.plans.search import _ROWS, QUERY, _index
 from tidemark.sources.tables import table
 
 QUERIES, SQL = {}, {}
+SOURCE_SCORES = SQL_OF_CRAWL["source_feedback"]
 
 
 def query(sql: str | None = None):
@@ -229,3 +230,55 @@ def fenced_events(spark, sf_dir):
 
     e = table(spark, sf_dir, "recovery_events").where("work_id is not null").select("event_id", "work_id", "fencing_token").distinct()
     return flows.fenced(e, "work_id", "fencing_token", "event_id").select("event_id", "work_id", "accepted")
+
+
+@query(f"""with {_EDGES}, g as (select target as host, sum(links)::bigint as links, count(*) as hosts from edges group by 1), r as (select {host_sql('hostname')} as host, max(priority) / 100 as rel, count(distinct source) / 8.0 as topical from domain_candidates group by 1), e as (select {host_sql('hostname')} as host, count(*) / 20.0 as near from expansion_candidates group by 1)
+  select g.host, round((0.4 * coalesce(topical, 0) + 0.25 * {_SAT.format('links')} + 0.2 * {_SAT.format('hosts')} + 0.15 * least(1, coalesce(near, 0))) * (0.5 + 0.5 * coalesce(rel, 0)), 6) as authority,
+    round(sqrt(greatest(0, (0.4 * coalesce(topical, 0) + 0.25 * {_SAT.format('links')} + 0.2 * {_SAT.format('hosts')} + 0.15 * least(1, coalesce(near, 0))) * (0.5 + 0.5 * coalesce(rel, 0)) * coalesce(rel, 0))), 6) as balance from g left join r using (host) left join e using (host)""")
+def query_authority(spark, sf_dir):
+    """Authority of hosts, weighed with how far they matter to what is asked, and the balance of both."""
+    g = _edges(spark, sf_dir).groupBy(F.col("target").alias("host")).agg(F.sum("links").alias("links"), F.count("*").alias("hosts"))
+    r = table(spark, sf_dir, "domain_candidates").groupBy(clean_host(F.col("hostname")).alias("host")).agg((F.max("priority") / 100).alias("rel"), (F.count_distinct("source") / 8).alias("topical")).where("host is not null")
+    e = table(spark, sf_dir, "expansion_candidates").groupBy(clean_host(F.col("hostname")).alias("host")).agg((F.count("*") / 20).alias("near")).where("host is not null")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = g.join(r, "host", "left").join(e, "host", "left")
+    authority = signals.query_authority(zero("topical"), graph.saturation(F.col("links")), graph.saturation(F.col("hosts")), F.least(F.lit(1.0), zero("near")), zero("rel"))
+    return out.select("host", F.round(authority, 6).alias("authority"), F.round(F.sqrt(F.greatest(F.lit(0.0), authority * zero("rel"))), 6).alias("balance"))
+
+
+@query(f"""select queue, count(*) as urls, round(sum(wait), 3) as wait from (select case when s >= 0.9 then 'critical' when s >= 0.72 then 'high' when s >= 0.5 then 'normal' when s >= 0.25 then 'low' else 'idle' end as queue, power(2, least(attempts, 10))::double as wait
+  from (select attempts, 0.6 * coalesce(priority, 0) / 100 + 0.4 * (1 - exp(-ln(2) * greatest(0, {NOW} - coalesce(last_crawled_at, 0)) / 86400 / 14)) as s from urls)) group by 1""")
+def freshness_queues(spark, sf_dir):
+    """Queues of urls by bands of what they're worth and how old they are, with the waits of their retries."""
+    from tidemark.functions.numbers import recency
+
+    age = F.greatest(F.lit(0.0), NOW - F.coalesce("last_crawled_at", F.lit(0.0))) / 86400
+    s = 0.6 * F.coalesce("priority", F.lit(0.0)) / 100 + 0.4 * (1 - recency(age, 14))
+    u = table(spark, sf_dir, "urls").select(signals.bands(s, {"critical": 0.9, "high": 0.72, "normal": 0.5, "low": 0.25}, "idle").alias("queue"), F.pow(F.lit(2.0), F.least("attempts", F.lit(10))).alias("wait"))
+    return u.groupBy("queue").agg(F.count("*").alias("urls"), F.round(F.sum("wait"), 3).alias("wait"))
+
+
+@query(f"""with f as ({SOURCE_SCORES}) select work_id, least(100.0, greatest(0.0, priority + least(10, greatest(-10, coalesce(score, 0))))) as adjusted from discovery_work left join f using (source) where priority is not null""")
+def feedback_adjusted(spark, sf_dir):
+    """Priorities of work adjusted by what its source has brought, ten up or down at most."""
+    score = QUERIES_OF_CRAWL["source_feedback"](spark, sf_dir)
+    w = table(spark, sf_dir, "discovery_work").where("priority is not null").join(score, "source", "left")
+    by = F.least(F.lit(10), F.greatest(F.lit(-10), F.coalesce("score", F.lit(0))))
+    return w.select("work_id", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("priority") + by)).alias("adjusted"))
+
+
+RISK = [("url", "address", 1.0), ("url", "punycode", 0.6), ("url", "labels", 0.4), ("url", "long", 0.3), ("url", "encoded", 0.3)]
+_HOST = r"lower(regexp_extract(trim(url, ' '), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_RISK_SQL = {"address": rf"regexp_matches({_HOST}, '^[0-9.]+$')::int", "punycode": f"contains({_HOST}, 'xn--')::int", "labels": f"least(1, greatest(0, len(string_split({_HOST}, '.')) - 3) / 3.0)", "long": "least(1, length(url) / 200.0)", "encoded": "least(1, (length(url) - length(replace(url, '%', ''))) / 10.0)"}
+
+
+@query(f"""with r as ({_weigh_sql(_long_sql("row_id", _RISK_SQL, "(select * from urls where url is not null)"), RISK, "row_id")}) select row_id, score, case when score >= 0.95 then 'block' when score >= 0.8 then 'danger' when score >= 0.6 then 'suspect' else 'none' end as band from r""")
+def url_risk(spark, sf_dir):
+    """What makes urls look harmful, as a weighted mean with bands."""
+    from tidemark.functions import url as U
+
+    u = table(spark, sf_dir, "urls").where("url is not null").select("row_id", "url", U.host(F.col("url")).alias("h"))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    given = {"address": one(F.col("h").rlike(r"^[0-9.]+$")), "punycode": one(F.col("h").contains("xn--")), "labels": F.least(F.lit(1.0), F.greatest(F.lit(0), F.size(F.split("h", r"\.")) - 3) / 3), "long": F.least(F.lit(1.0), F.length("url") / 200), "encoded": F.least(F.lit(1.0), (F.length("url") - F.length(F.replace("url", F.lit("%"), F.lit("")))) / 10)}
+    out = signals.weigh(signals.long_signals(u, ["row_id"], given), _weights(spark, RISK), ["row_id"])
+    return out.select("row_id", "score", signals.bands(F.col("score"), {"block": 0.95, "danger": 0.8, "suspect": 0.6}, "none").alias("band"))
