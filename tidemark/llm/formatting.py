@@ -34,7 +34,7 @@ def url_key(c: Column) -> Column:
     parts = F.split(c, r"\?", 2)
     query = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ";", "&")
     query = F.lower(F.regexp_replace(query, r"[^a-zA-Z0-9\p{L}\p{N}&]++", " "))
-    params = F.array_sort(F.array_remove(F.split(F.trim(query), " ?& ?"), ""))
+    params = F.sort_array(F.array_remove(F.split(F.trim(query), " ?& ?"), ""))
     return F.concat(words_text(F.get(parts, F.lit(0))), F.lit("?"), F.array_join(params, "&"))
 
 
@@ -44,7 +44,7 @@ def text_key(*columns: Column) -> Column:
     Null and wordless fields don't count.
     """
     fields = [F.coalesce(words_text(c.cast("string")), F.lit("")) for c in columns]
-    return F.array_join(F.array_sort(F.array_remove(F.array(*fields), "")), "\x1f")
+    return F.array_join(F.sort_array(F.array_remove(F.array(*fields), "")), "\x1f")
 
 
 def _scan(copies: bool):
@@ -114,7 +114,9 @@ def _scan(copies: bool):
 
 def _scanned(records: DataFrame, copies: bool, partitions: int | None) -> DataFrame:
     n = partitions or parallelism(records.sparkSession)
-    ordered = records.where(F.col("key").isNotNull()).repartitionByRange(n, "tbl", "key", "id").sortWithinPartitions("tbl", "key", "id")
+    # Range partitions are found from a sample: keys are written once, so that they aren't worked out for it again.
+    keyed = materialize(records.where(F.col("key").isNotNull()), "keys")
+    ordered = keyed.repartitionByRange(n, "tbl", "key", "id").sortWithinPartitions("tbl", "key", "id")
     return materialize(ordered.mapInArrow(_scan(copies), SCANNED), "runs")
 
 
