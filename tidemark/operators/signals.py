@@ -105,7 +105,7 @@ def long_signals(rows: DataFrame, keys: Sequence[str], signals: Mapping[str, Col
 def blend(families: DataFrame, keys: Sequence[str], shares: Mapping[str, float], name: str = "score") -> DataFrame:
     """(keys, score): families' scores by their shares; families that aren't there count as 0."""
     parts = [F.coalesce(F.max(F.when(F.col("family") == f, F.col("score"))), F.lit(0.0)) * s for f, s in shares.items()]
-    return families.groupBy(*keys).agg(F.round(sum(parts, F.lit(0.0)), 6).alias(name))
+    return families.groupBy(*keys).agg(sum(parts, F.lit(0.0)).alias(name))
 
 
 def history(rows: DataFrame, key: str, order: str, magnitude: str) -> DataFrame:

@@ -28,8 +28,8 @@ def query(sql: str | None = None):
     return add
 
 
-#: Urls that links can be made of without losing anything: no fragment, space, backslash or control character.
-_PLAIN = r"^https?://[a-z0-9.-]+/[^#\s\\<>\x00-\x1f\x85\xa0]*\z"
+#: Urls that links can be made of without losing anything: no fragment, space, backslash, control character or empty query.
+_PLAIN = r"^https?://[a-z0-9.-]+/(?:[^#\s\\<>\x00-\x1f\x85\xa0]*[^#\s\\<>\x00-\x1f\x85\xa0?])?\z"
 _LINKS = f"(select distinct url from urls where regexp_matches(url, '{_PLAIN}'))"
 
 

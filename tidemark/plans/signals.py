@@ -109,7 +109,7 @@ SHARES = {"content": 0.55, "host": 0.15, "history": 0.15}
 
 
 @query(f"""with w as (select doc_id, len(w) as words, len(list_distinct(w)) as distinct_words, count(*) over (partition by source) as site, count(*) over (partition by text) as copies from (select *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents where text is not null and source is not null)),
-  f as ({_weigh_sql(_long_sql("doc_id", _SPAM_SQL, "w"), SPAM, "doc_id")}), b as (select doc_id, round(0.55 * coalesce(max(case when family = 'content' then score end), 0) + 0.15 * coalesce(max(case when family = 'host' then score end), 0) + 0.15 * coalesce(max(case when family = 'history' then score end), 0), 6) as score from f group by 1)
+  f as ({_weigh_sql(_long_sql("doc_id", _SPAM_SQL, "w"), SPAM, "doc_id")}), b as (select doc_id, round(0.55 * coalesce(max(case when family = 'content' then score end), 0) + 0.15 * coalesce(max(case when family = 'host' then score end), 0) + 0.15 * coalesce(max(case when family = 'history' then score end), 0) + 1e-9, 6) as score from f group by 1)
   select doc_id, score, case when score >= 0.9 then 'critical' when score >= 0.7 then 'high' when score >= 0.4 then 'medium' when score >= 0.15 then 'low' else 'none' end as band from b""")
 def spam_families(spark, sf_dir):
     """Signs of spam of documents by families, blended and banded."""
@@ -120,6 +120,7 @@ def spam_families(spark, sf_dir):
     w = w.join(w.groupBy("source").agg(F.count("*").alias("site")), "source").join(w.groupBy("h").agg(F.count("*").alias("copies")), "h")
     given = {"repetition": 1 - F.col("distinct_words") / F.greatest("words", F.lit(1)), "thin": F.when(F.col("words") < 20, 1).otherwise(0), "crowd": graph.saturation(F.col("site")), "copies": F.when(F.col("copies") > 1, 1).otherwise(0)}
     out = signals.blend(signals.weigh(signals.long_signals(w, ["doc_id"], given), _weights(spark, SPAM), ["doc_id"]), ["doc_id"], SHARES)
+    out = out.withColumn("score", F.round(F.col("score") + 1e-9, 6))  # halves go up in every engine
     return out.withColumn("band", signals.bands(F.col("score"), {"critical": 0.9, "high": 0.7, "medium": 0.4, "low": 0.15}, "none"))
 
 
