@@ -188,8 +188,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sound texts garbled in ways of their languages and set beside all others: whether at least 95% of them are found and
-    90% restored to the letter."""
+    """Sound texts garbled in ways of their languages and set beside all others: whether at least 95% of them are found, and
+    90% of their spoilt words put right. (Words of one or two letters that were one byte each stay as they are.)"""
     docs = _documents(spark, sf_dir)
     bad = materialize(encoding.garbled_documents(docs), "found")
     wide = (F.octet_length("text") > F.length("text") + 20) & (F.length("text") < 20_000)
@@ -197,7 +197,9 @@ def p10_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = materialize(encoding.planted(sound), "planted")
     got = encoding.restored_documents(docs.unionByName(planted.select("doc_id", F.col("garbled").alias("text"))))
     both = planted.join(got, "doc_id", "left")
-    return both.agg((F.count("restored") >= 0.95 * F.count("*")).alias("found"), (F.count_if(F.col("restored") == F.col("text")) >= 0.9 * F.count("*")).alias("restored"))
+    words = F.explode(F.arrays_zip(*[F.split(F.coalesce(c, F.lit("")), " ").alias(c) for c in ("text", "garbled", "restored")]))
+    spoilt = both.select(words.alias("w")).where("w.text <> w.garbled").agg((F.count_if(F.col("w.restored") == F.col("w.text")) >= 0.9 * F.count("*")).alias("restored"))
+    return both.agg((F.count("restored") >= 0.95 * F.count("*")).alias("found")).crossJoin(spoilt)  # one row each
 
 
 QUERIES = {f.__name__: f for f in (p1_distinct_hosts, p1_audit, p1_intervals, p2_found, p2_groups, p5_found, p5_error_rate, p5_audit, p5_in_two_runs, p7_found, p7_sampled, p7_audit, p7_shares, p8_pack, p8_containers, p8_audit, p9_found, p9_reordered, p9_planted, p10_found, p10_restored, p10_planted)}
